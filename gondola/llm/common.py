@@ -49,6 +49,37 @@ def map_slices(df: DataFrame, make: Callable[[dict[str, list]], dict[str, object
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """What a function of single words gave, kept by a Python worker for its next rows; ``most`` words at most.
+
+    Words that come when it is full are worked out again for each slice, so a bound on memory changes no result.
+    """
+
+    def __init__(self, work: Callable[[list], list], most: int = 400_000):
+        super().__init__()
+        self.work, self.most, self.over = work, most, {}
+
+    def __missing__(self, word):
+        return self.over[word]
+
+    def learn(self, lists: list[list]) -> None:
+        """Make sure that every word of the lists can be looked up until the next call."""
+        new = list(set().union(*lists) - self.keys())
+        self.over = dict(zip(new, self.work(new), strict=True)) if new else {}
+        if len(self) + len(self.over) <= self.most:
+            self.update(self.over)
+
+
+#: Memos by name, one set for each Python worker.
+MEMOS: dict[tuple, Memo] = {}
+
+
+def memo(name: tuple, make: Callable[[], Callable[[list], list]]) -> Memo:
+    if name not in MEMOS:
+        MEMOS[name] = Memo(make())
+    return MEMOS[name]
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -20,6 +20,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, counted and digested."""
+    from gondola.llm.pii import BASE_KINDS, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*BASE_KINDS)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition figures and verdict of every document."""
+    from gondola.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by the law 'bytes'."""
     from gondola.llm.sharding import shard_documents
@@ -27,8 +45,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document: their number, their CRC-32, and whether they decode to the text."""
+    import public_tokenizers
+
+    from gondola.llm.sentencepiece import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    from gondola.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), seq_len=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op5_sharding": op5_sharding}
+    found = (op2_simhash, op3_pii, op4_quality, op5_sharding, op6_sentencepiece, op9_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
