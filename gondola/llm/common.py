@@ -70,14 +70,22 @@ class Memo(dict):
             self.update(self.over)
 
 
-#: Memos by name, one set for each Python worker.
-MEMOS: dict[tuple, Memo] = {}
+#: The memo of each kind that a Python worker holds, with the name that it was made for.
+MEMOS: dict[str, tuple[tuple, Memo]] = {}
 
 
-def memo(name: tuple, make: Callable[[], Callable[[list], list]]) -> Memo:
-    if name not in MEMOS:
-        MEMOS[name] = Memo(make())
-    return MEMOS[name]
+def memo(kind: str, name: tuple, make: Callable[[], Callable[[list], list]]) -> Memo:
+    """The worker's memo of this kind; another name (vocabulary, model) replaces it, so memory stays bounded."""
+    if kind not in MEMOS or MEMOS[kind][0] != name:
+        MEMOS[kind] = (name, Memo(make()))
+    return MEMOS[kind][1]
+
+
+def hash_share(rows: int, most: int, *columns: str) -> Column:
+    """A filter that keeps about ``most`` of ``rows`` rows, chosen by a hash of columns, or all if there are no more."""
+    if rows <= most:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.lit("share"), *columns), F.lit(1_000_000)) < int(1_000_000 * most / rows)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

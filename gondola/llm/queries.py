@@ -54,6 +54,27 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those of which crc32 of the id, modulo 4, is not 2."""
+    from gondola.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    models = langid.fit(docs.filter(~held_out & F.col("lang").isNotNull()))
+    return langid.predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of documents of which crc32 of the id, modulo 3, is not 1."""
+    from gondola.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").filter(~held_out).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences of 4096 tokens."""
     import public_tokenizers
@@ -64,7 +85,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_pii, op4_quality, op5_sharding, op6_sentencepiece, op9_packing)
+    found = (op2_simhash, op3_pii, op4_quality, op5_sharding, op6_sentencepiece, op7_langid, op8_toxicity, op9_packing)
     return {f.__name__: f for f in found}
 
 
