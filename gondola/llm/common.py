@@ -49,6 +49,19 @@ def map_slices(df: DataFrame, make: Callable[[dict[str, list]], dict[str, object
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]], object]) -> DataFrame:
+    """The rows of df, all columns as they are, for whose texts (UTF-8 bytes) ``keep`` gives true values; no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Memo(dict):
     """What a function of single words gave, kept by a Python worker for its next rows; ``most`` words at most.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import as_bytes, hash_share, map_slices, memo
+from gondola.llm.common import as_bytes, hash_share, keep_rows, map_slices, memo
 
 ORDER = 5
 UNKNOWN = "und"
@@ -192,36 +193,57 @@ def fit(
     return models
 
 
-def measure(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Bits a character of each whole text in each language (empty: no letters), and the columns ``more``."""
+def measurer(docs: DataFrame, models: LanguageModels) -> Callable[[list[bytes | None]], list]:
+    """What gives, on the executors, the bits a character of texts in each language; empty for a text without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     name, n = models.name, len(models.languages)
 
-    def make(rows: dict[str, list]) -> dict[str, object]:
-        def work(words: list[bytes]) -> list[bytes]:
-            runs = [LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in words]
-            flat = [x for r in runs for x in r]
-            own = np.repeat(np.arange(len(words)), [len(r) for r in runs])
-            values = np.zeros((len(words), n + 1), np.float32)
-            if flat:
-                np.add.at(values[:, :n], own, shared.value.bits(flat))
-                np.add.at(values[:, n], own, [len(x) + 1 for x in flat])
-            return [x.tobytes() for x in values]
-
+    def work(words: list[bytes]) -> list[bytes]:
+        runs = [LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in words]
+        flat = [x for r in runs for x in r]
+        own = np.repeat(np.arange(len(words)), [len(r) for r in runs])
+        values = np.zeros((len(words), n + 1), np.float32)
+        if flat:
+            np.add.at(values[:, :n], own, shared.value.bits(flat))
+            np.add.at(values[:, n], own, [len(x) + 1 for x in flat])
+        return [x.tobytes() for x in values]
+
+    def bits(texts: list[bytes | None]) -> list:
         store = memo("languages", (name,), lambda: work)
-        lists = [t.split() if t else [] for t in rows["_text"]]
+        lists = [t.split() if t else [] for t in texts]
         store.learn(lists)
-        bits = []
+        out = []
         for words in lists:
             total = np.frombuffer(b"".join(map(store.__getitem__, words)), np.float32).reshape(-1, n + 1).sum(axis=0, dtype=float)
-            bits.append(total[:n] / total[n] if total[n] else [])
-        return {k: v for k, v in rows.items() if k != "_text"} | {"bits": bits}
+            out.append(total[:n] / total[n] if total[n] else [])
+        return out
+
+    return bits
+
+
+def measure(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Bits a character of each whole text in each language (empty: no letters), and the columns ``more``."""
+    bits = measurer(docs, models)
+
+    def make(rows: dict[str, list]) -> dict[str, object]:
+        return {k: v for k, v in rows.items() if k != "_text"} | {"bits": bits(rows["_text"])}
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *more))
     return map_slices(docs.select(id_col, *more, as_bytes(text_col).alias("_text")), make, f"{schema}, bits array<double>")
 
 
+def drop_foreign(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+    """docs without the rows that predict() would mark rejected; all columns pass through."""
+    bits = measurer(docs, models)
+    most = models.most_bits
+
+    def keep(texts: list[bytes | None]) -> list[bool]:
+        return [len(b) > 0 and (most is None or b[i := int(np.argmin(b))] <= most[i]) for b in bits(texts)]
+
+    return keep_rows(docs, text_col, keep)
+
+
 def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of each whole text.
 

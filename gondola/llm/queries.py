@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
+    from gondola.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from gondola.llm.simhash import near_duplicates
@@ -70,8 +78,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").filter(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -84,8 +91,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), seq_len=4096)
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from gondola.llm.extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_simhash, op3_pii, op4_quality, op5_sharding, op6_sentencepiece, op7_langid, op8_toxicity, op9_packing)
+    found = (op1_ann, op2_simhash, op3_pii, op4_quality, op5_sharding, op6_sentencepiece, op7_langid, op8_toxicity, op9_packing, op10_extraction)
     return {f.__name__: f for f in found}
 
 

@@ -361,3 +361,28 @@ def near_duplicates(
     of_node = labels.join(grouped, "label").select(F.col("node").alias("fp"), "least")
     of_fp = distinct.join(of_node, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one row of each component of near-duplicates: the one of the smallest id, all columns as they are.
+
+    Of repeated rows (equal ids in a component's smallest) one stays. Rows with a null id stay only where their
+    component has no other; of those, one for each fingerprint. The texts are shuffled once, by id.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, radius)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    named = named.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    at = docs.columns.index(text_col)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _fp long"
+    out = arrow_schema(docs.sparkSession, schema)
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = fingerprint_texts(batch.column(at).cast(pa.binary()).to_pylist(), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, out, strict=False)] + [pa.array(fp)], schema=out)
+
+    alone = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_alone")).distinct()
+    unnamed = docs.filter(F.col(id_col).isNull()).mapInArrow(attach, schema)
+    unnamed = unnamed.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    return named.union(unnamed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import as_bytes, cut_lineage, hash_share, map_slices, memo
+from gondola.llm.common import as_bytes, cut_lineage, hash_share, keep_rows, map_slices, memo
 
 #: Terms are hashed to so many bits.
 HASH_BITS = 22
@@ -57,8 +58,8 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = 8, rounds: int = 40, seed: int = 7) -> FactorizationMachine:
-    """Fit by Adam on mini-batches of the logistic loss; rows hold distinct term numbers."""
+def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = 8, steps: int = 4000, seed: int = 7) -> FactorizationMachine:
+    """Fit by about ``steps`` steps of Adam on mini-batches of the logistic loss; rows hold distinct term numbers."""
     rng = np.random.default_rng(seed)
     rate = np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3)
     theta = {"b": np.array([np.log(rate / (1 - rate))]), "w": np.zeros(len(terms)), "v": rng.normal(0, 0.02, (len(terms), factors))}
@@ -67,7 +68,7 @@ def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors
     sizes = np.array([len(r) for r in rows])
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    for _ in range(rounds if len(terms) and n else 0):
+    for _ in range(-(-steps // -(-n // 256)) if len(terms) and n else 0):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             batch = order[at : at + 256]
@@ -91,7 +92,8 @@ def train(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -100,15 +102,17 @@ def fit(
     least_docs: int = 3,
     least_z: float = 4.0,
 ) -> FactorizationMachine:
-    """Fit on ``labelled`` rows: about ``most_docs`` of them, chosen by a hash of id and text.
+    """Fit on the texts of ``docs`` that ``labels`` (id_col and label_col, 0 or 1) marks.
 
-    Copies are dropped first, and texts that share the least of their shingle hashes, so that a passage copied
-    many times does not pass for a sign of its label. The terms that count are the ``most_terms`` that tell most about
-    the label, of those in ``least_docs`` texts at least. Rows without a label are not read; without any rows the
-    model gives every text the same score, below 0.5.
+    About ``most_docs`` labelled ids are read, chosen by a hash of the id, which also bounds what is broadcast; an id
+    with both labels counts as 1. Copies are dropped, and texts that share the least or the greatest of their shingle
+    hashes, so that a passage copied many times does not pass for a sign of its label. The terms that count are the
+    ``most_terms`` that tell most about the label, of those in ``least_docs`` texts at least. Null ids, labels and
+    texts teach nothing; without any rows the model gives every text the same score, below 0.5.
     """
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), as_bytes(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    sample = rows.filter(hash_share(rows.count(), most_docs, "id", "text"))
+    marks = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    chosen_marks = marks.filter(hash_share(marks.count(), most_docs, "id"))
+    sample = docs.select(F.col(id_col).cast("string").alias("id"), as_bytes(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen_marks), "id")
 
     def make(part: dict[str, list]) -> dict[str, object]:
         sets, least, other = [], [], []
@@ -140,33 +144,47 @@ def fit(
     return train(terms, [np.array(r[1], np.int64) for r in found], np.array([r[0] for r in found], float))
 
 
+def scorer(docs: DataFrame, model: FactorizationMachine) -> Callable[[list[bytes | None]], np.ndarray]:
+    """What gives the scores of texts on the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = model.name
+
+    def work(words: list[bytes]) -> list[bytes]:
+        machine, out = shared.value, []
+        for w in words:
+            t = np.fromiter(terms_of(w.decode("utf-8", "replace")), np.int64)
+            at = np.searchsorted(machine.terms, t)
+            hit = at < len(machine.terms)
+            hit[hit] = machine.terms[at[hit]] == t[hit]
+            out.append(at[hit].astype(np.int32).tobytes())
+        return out
+
+    def scores(texts: list[bytes | None]) -> np.ndarray:
+        store = memo("toxic terms", (name,), lambda: work)
+        lists = [t.split() if t else [] for t in texts]
+        store.learn(lists)
+        return shared.value.score([np.unique(np.frombuffer(b"".join(map(store.__getitem__, words)), np.int32)) for words in lists])
+
+    return scores
+
+
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Toxicity of each whole text: doc_id, score (0 to 1) and predicted (1 if the score is ``threshold`` or more).
 
     One row per input row. A null or empty text has no terms and gets the score of the bias alone; null ids and
     repeated rows are kept; an empty table gives no rows. Columns besides the two are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = model.name
+    scores = scorer(docs, model)
 
     def make(rows: dict[str, list]) -> dict[str, object]:
-        machine = shared.value
-
-        def work(words: list[bytes]) -> list[bytes]:
-            out = []
-            for w in words:
-                t = np.fromiter(terms_of(w.decode("utf-8", "replace")), np.int64)
-                at = np.searchsorted(machine.terms, t)
-                hit = at < len(machine.terms)
-                hit[hit] = machine.terms[at[hit]] == t[hit]
-                out.append(at[hit].astype(np.int32).tobytes())
-            return out
-
-        store = memo("toxic terms", (name,), lambda: work)
-        lists = [t.split() if t else [] for t in rows["text"]]
-        store.learn(lists)
-        got = machine.score([np.unique(np.frombuffer(b"".join(map(store.__getitem__, words)), np.int32)) for words in lists])
+        got = scores(rows["text"])
         return {"doc_id": rows["doc_id"], "score": got, "predicted": (got >= threshold).astype(np.int32)}
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     return map_slices(thin, make, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose text scores ``threshold`` or more; all columns pass through, null texts stay."""
+    scores = scorer(docs, model)
+    return keep_rows(docs, text_col, lambda texts: scores(texts) < threshold)
