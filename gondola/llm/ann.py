@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import arrow_schema, cut_lineage, hash_share
+from gondola.llm.common import arrow_schema, cut_lineage, hash_share, map_batches
 
 #: Results that a task gathers before it cuts them to each query's best.
 MOST_WAITING = 1_000_000
@@ -195,8 +195,8 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(of), query)), part.column("ids").take(pa.array(of)).cast(out_rows.field("ids").type), part.column("v").take(pa.array(of)).cast(out_rows.field("v").type)], schema=out_rows)
 
     asked = read(queries).filter(F.size("v") == size).dropDuplicates(["id", "v"]).select(F.array("id").alias("ids"), "v")
-    indexed = index.select("ids", "v").mapInArrow(lambda b: deal(b, False), rows_schema)
-    asks = asked.mapInArrow(lambda b: deal(b, True), rows_schema)
+    indexed = map_batches(index.select("ids", "v"), lambda b: deal(b, False), rows_schema)
+    asks = map_batches(asked, lambda b: deal(b, True), rows_schema)
     out = arrow_schema(spark, FOUND)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +252,6 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in results[0]], schema=out)
 
     met = indexed.unionByName(asks).repartition("leaf").sortWithinPartitions("leaf", F.desc("ask"))
-    found = met.mapInArrow(meet, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = map_batches(met, meet, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows taken from an Arrow batch at a time, so that Python objects of few long texts live at once.
 SLICE_ROWS = 256
@@ -26,6 +29,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Applications whose executors have been sent this package.
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId not in SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="gondola-ship-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        SHIPPED.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow, with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def as_bytes(column: str) -> Column:
     """A text column as its UTF-8 bytes, which saves Python from decoding them."""
     return F.col(column).cast("string").cast("binary")
@@ -46,7 +72,7 @@ def map_slices(df: DataFrame, make: Callable[[dict[str, list]], dict[str, object
                 made = make({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]], object]) -> DataFrame:
@@ -59,28 +85,32 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]],
                 part = batch.slice(start, SLICE_ROWS)
                 yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 class Memo(dict):
-    """What a function of single words gave, kept by a Python worker for its next rows; ``most`` words at most.
+    """What a function of single words gave (bytes), kept by a Python worker for its next rows; ``most`` words at most.
 
     Words that come when it is full are worked out again for each slice, so a bound on memory changes no result.
     """
 
-    def __init__(self, work: Callable[[list], list], most: int = 400_000):
+    def __init__(self, work: Callable[[list[bytes]], list[bytes]], most: int = 600_000):
         super().__init__()
-        self.work, self.most, self.over = work, most, {}
-
-    def __missing__(self, word):
-        return self.over[word]
-
-    def learn(self, lists: list[list]) -> None:
-        """Make sure that every word of the lists can be looked up until the next call."""
-        new = list(set().union(*lists) - self.keys())
-        self.over = dict(zip(new, self.work(new), strict=True)) if new else {}
-        if len(self) + len(self.over) <= self.most:
-            self.update(self.over)
+        self.work, self.most = work, most
+
+    def join(self, lists: list[list[bytes]]) -> list[bytes]:
+        """For each list of words, what they give, joined."""
+        found = [list(map(self.get, words)) for words in lists]
+        gaps = [[i for i, x in enumerate(values) if x is None] for values in found]
+        new = list({words[i] for words, own in zip(lists, gaps, strict=True) for i in own})
+        if new:
+            known = dict(zip(new, self.work(new), strict=True))
+            for words, values, own in zip(lists, found, gaps, strict=True):
+                for i in own:
+                    values[i] = known[words[i]]
+            if len(self) + len(known) <= self.most:
+                self.update(known)
+        return [b"".join(values) for values in found]
 
 
 #: The memo of each kind that a Python worker holds, with the name that it was made for.
@@ -104,7 +134,6 @@ def hash_share(rows: int, most: int, *columns: str) -> Column:
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 

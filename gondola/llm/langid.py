@@ -210,11 +210,9 @@ def measurer(docs: DataFrame, models: LanguageModels) -> Callable[[list[bytes |
 
     def bits(texts: list[bytes | None]) -> list:
         store = memo("languages", (name,), lambda: work)
-        lists = [t.split() if t else [] for t in texts]
-        store.learn(lists)
         out = []
-        for words in lists:
-            total = np.frombuffer(b"".join(map(store.__getitem__, words)), np.float32).reshape(-1, n + 1).sum(axis=0, dtype=float)
+        for values in store.join([t.split() if t else [] for t in texts]):
+            total = np.frombuffer(values, np.float32).reshape(-1, n + 1).sum(axis=0, dtype=float)
             out.append(total[:n] / total[n] if total[n] else [])
         return out
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_slices, memo, numbered
+from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_batches, map_slices, memo, numbered
 
 END_ID = 2
 
@@ -50,24 +50,27 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_rou
     knapsack, and the pattern worth more than a bin enters. Every basis is feasible, so a bound on the rounds
     costs bins at most.
     """
-    m = len(sizes)
+    # plain sums instead of matrix products: these matrices are too small for threads, which would fight Spark's
+    times = lambda matrix, vector: (matrix * vector).sum(axis=1)
     patterns = np.diag(room // sizes).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(patterns))
-    used = inverse @ demand
+    used = times(inverse, demand)
+    least, since = used.sum(), 0
     for round_ in range(most_rounds):
         worth, pattern = best_pattern(np.maximum(inverse.sum(axis=0), 0), sizes, room)
-        if worth <= 1 + 1e-9:
-            break
-        enters = inverse @ pattern
+        enters = times(inverse, pattern)
         able = np.flatnonzero(enters > 1e-9)
+        if not worth > 1 + 1e-9 or not len(able) or since > 300:  # optimal, or only turning around
+            break
         out = able[np.argmin(used[able] / enters[able])]
         patterns[:, out] = pattern
         row = inverse[out] / enters[out]
         inverse -= np.outer(enters, row)
         inverse[out] = row
-        if round_ % 50 == 49:
-            inverse = np.linalg.inv(patterns.astype(float))
-        used = np.maximum(inverse @ demand, 0)
+        if round_ % 100 == 99:  # a step of Newton's takes rounding errors out of the inverse
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, np.einsum("ij,jk->ik", patterns.astype(float), inverse))
+        used = np.maximum(times(inverse, demand), 0)
+        least, since = (used.sum(), 0) if used.sum() < least - 1e-9 else (least, since + 1)
     return patterns.T, used
 
 
@@ -120,7 +123,7 @@ class WordCoder:
     all others go through the whole tokenizer. Both give the same ids.
     """
 
-    def __init__(self, path: str, most_runs: int = 200_000):
+    def __init__(self, path: str, most_runs: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,11 +161,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, se
 
     def make(rows: dict[str, list]) -> dict[str, object]:
         store = memo("tokens", (tokenizer,), lambda: WordCoder(tokenizer))
-        words = [t.split() if t else [] for t in rows["text"]]
-        store.learn(words)
+        coded = store.join([t.split() if t else [] for t in rows["text"]])
         out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids)}
-        for doc_id, w in zip(rows["doc_id"], words, strict=True):
-            ids = b"".join([*map(store.__getitem__, w), end])
+        for doc_id, ids in zip(rows["doc_id"], coded, strict=True):
+            ids += end
             for at in range(0, len(ids), 4 * seq_len):
                 piece = ids[at : at + 4 * seq_len]
                 for n, v in (("doc_id", doc_id), ("start", at // 4), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece)), ("doc_tokens", len(ids) // 4)):
@@ -231,4 +233,4 @@ def pack(
 
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
     before = F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.mapInArrow(place, schema).withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
+    return map_batches(ranked, place, schema).withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))

@@ -159,9 +159,7 @@ def split_chunks(text: bytes | None) -> list[bytes]:
 def encode_texts(path: str, texts: list[bytes | None]) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers."""
     store = memo("pieces", (path,), lambda: load_pieces(path).encode_chunks)
-    chunks = [split_chunks(t) for t in texts]
-    store.learn(chunks)
-    return [b"".join(map(store.__getitem__, c)) for c in chunks]
+    return store.join([split_chunks(t) for t in texts])
 
 
 def decode_ids(path: str, ids: np.ndarray) -> bytes:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_slices
+from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_batches, map_slices
 
 BITS = 64
 SEED = 42
@@ -295,7 +295,7 @@ def link_buckets(keyed: DataFrame, radius: int) -> DataFrame:
             yield work(whole[0], whole[1], whole[2].view(np.uint64))
 
     dealt = keyed.repartition("kind", "value").sortWithinPartitions("kind", "value")
-    return dealt.select("kind", "value", "fp").mapInArrow(run, LINKS)
+    return map_batches(dealt.select("kind", "value", "fp"), run, LINKS)
 
 
 def link_chunks(hot: DataFrame, radius: int) -> DataFrame:
@@ -383,6 +383,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, out, strict=False)] + [pa.array(fp)], schema=out)
 
     alone = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_alone")).distinct()
-    unnamed = docs.filter(F.col(id_col).isNull()).mapInArrow(attach, schema)
+    unnamed = map_batches(docs.filter(F.col(id_col).isNull()), attach, schema)
     unnamed = unnamed.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
     return named.union(unnamed)

@@ -161,9 +161,8 @@ def scorer(docs: DataFrame, model: FactorizationMachine) -> Callable[[list[bytes
 
     def scores(texts: list[bytes | None]) -> np.ndarray:
         store = memo("toxic terms", (name,), lambda: work)
-        lists = [t.split() if t else [] for t in texts]
-        store.learn(lists)
-        return shared.value.score([np.unique(np.frombuffer(b"".join(map(store.__getitem__, words)), np.int32)) for words in lists])
+        found = store.join([t.split() if t else [] for t in texts])
+        return shared.value.score([np.unique(np.frombuffer(x, np.int32)) for x in found])
 
     return scores
 
