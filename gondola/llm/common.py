@@ -139,17 +139,17 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def numbered(
-    df: DataFrame, group: str, order: list[str], rows_of: dict[int, int], out: str, cell_rows: int = 2048
+    df: DataFrame, group: str, order: list[str], rows_of: dict[int, int], out: str, cell_rows: int = 512
 ) -> DataFrame:
     """df with ``out``: a number from 0, gapless within each value of ``group``, whose rows are spread over tasks.
 
-    rows_of: rows of each group, of which there are few (shards, length classes). A group is dealt into cells of
-    about ``cell_rows`` rows by a hash of ``order``; rows are numbered within a cell, and the cells' running
-    counts are added, so no task holds a whole group. ``order`` should name columns that tell rows apart; rows
+    rows_of: rows of each group, of which there are few (shards, length classes). A group of n rows is dealt into
+    cells of about ``cell_rows`` rows, or the root of n if that is more, by a hash of ``order``; rows are numbered
+    within a cell, and the cells' running counts are added, so no task holds a whole group. ``order`` should name columns that tell rows apart; rows
     that agree in all of them may swap numbers.
     """
     cells = F.lit(1)
-    large = {g: -(-n // cell_rows) for g, n in rows_of.items() if n > cell_rows}
+    large = {g: -(-n // max(cell_rows, int(n**0.5))) for g, n in rows_of.items() if n > cell_rows}
     if large:
         cells = F.coalesce(
             F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in large.items() for x in kv]), F.col(group).cast("long")),

@@ -17,6 +17,8 @@ BITS = 64
 SEED = 42
 #: Members of a bucket that one task compares with each other; a larger bucket is dealt out in pairs of chunks.
 CHUNK = 4096
+#: Parts into which the rows of one fingerprint are spread.
+SALTS = 16
 #: Probes times 64-lane words that are compared at once.
 LANES_AT_ONCE = 1 << 18
 #: Bit planes between two looks for words that can be abandoned.
@@ -348,7 +350,7 @@ def near_duplicates(
     rows. Columns besides the two are not read.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     keys = bucket_keys(F.col("fp"), radius, blocks_for(distinct.count(), radius))
     keyed = distinct.select("fp", keys.alias("key")).select("key.kind", "key.value", "fp")
     found = cut_lineage(link_buckets(keyed, radius))
@@ -357,10 +359,13 @@ def near_duplicates(
     if not hot.isEmpty():
         links = links.union(link_chunks(hot, radius))
     labels = components(links)
-    grouped = labels.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("label").agg(F.min("rep").alias("least"))
+    grouped = labels.join(distinct.select(F.col("fp").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     of_node = labels.join(grouped, "label").select(F.col("node").alias("fp"), "least")
-    of_fp = distinct.join(of_node, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint of one row without links needs no look-up; the rows of the others are spread over salts
+    shared = distinct.join(of_node, "fp", "left").filter("n > 1 or least is not null")
+    shared = shared.select("fp", F.coalesce("least", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(shared, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
