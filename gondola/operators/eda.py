@@ -11,7 +11,9 @@ from gondola.functions.columns import mean_of, payday, ratio
 from gondola.operators.external import dense_oil
 from gondola.sources.retail import Retail
 
-EVERYTHING = Window.partitionBy()
+def everything():
+    """A window of all rows; used over aggregated rows only."""
+    return Window.partitionBy()
 
 
 def share(condition: Column) -> Column:
@@ -42,7 +44,7 @@ def daily_sales(train: DataFrame) -> DataFrame:
 def group_sales(rows: DataFrame, key: str) -> DataFrame:
     """Per value of key: sales, records, mean and share of all sales."""
     out = rows.groupBy(key).agg(F.sum("unit_sales").alias("unit_sales"), F.count(F.lit(1)).alias("records"))
-    return out.withColumns({"avg_unit_sales_per_record": ratio(F.col("unit_sales"), F.col("records")), "sales_share": ratio(F.col("unit_sales"), F.sum("unit_sales").over(EVERYTHING))})
+    return out.withColumns({"avg_unit_sales_per_record": ratio(F.col("unit_sales"), F.col("records")), "sales_share": ratio(F.col("unit_sales"), F.sum("unit_sales").over(everything()))})
 
 
 def family_sales(tables: Retail) -> DataFrame:
@@ -59,7 +61,7 @@ def promotion_summary(train: DataFrame) -> DataFrame:
     found = train.filter("onpromotion is not null").groupBy(F.col("onpromotion").cast("int").alias("onpromotion")).agg(F.count(F.lit(1)).alias("records"), F.sum("unit_sales").alias("unit_sales"))
     flags = train.sparkSession.range(2).select(F.col("id").cast("int").alias("onpromotion"))
     out = flags.join(found, "onpromotion", "left").fillna({"records": 0, "unit_sales": 0.0})
-    return out.withColumns({"record_share_known": ratio(F.col("records"), F.sum("records").over(EVERYTHING)), "avg_unit_sales_per_record": ratio(F.col("unit_sales"), F.col("records"))})
+    return out.withColumns({"record_share_known": ratio(F.col("records"), F.sum("records").over(everything())), "avg_unit_sales_per_record": ratio(F.col("unit_sales"), F.col("records"))})
 
 
 def rolling_mean(daily: DataFrame, value: str, rows: int = 28, least: int = 7) -> DataFrame:
@@ -79,7 +81,7 @@ def external_frame(tables: Retail, start: dt.date, end: dt.date) -> DataFrame:
 def z_scores(daily: DataFrame, *columns: str) -> DataFrame:
     """Each column less its mean, over its sample deviation, of the rows without a null in any of them."""
     whole = daily.dropna(subset=list(columns))
-    return whole.select("date", *[((F.col(c) - F.avg(c).over(EVERYTHING)) / F.stddev_samp(c).over(EVERYTHING)).alias(f"z_{c}") for c in columns])
+    return whole.select("date", *[((F.col(c) - F.avg(c).over(everything())) / F.stddev_samp(c).over(everything())).alias(f"z_{c}") for c in columns])
 
 
 def correlations(daily: DataFrame, *columns: str) -> DataFrame:

@@ -304,7 +304,7 @@ def baseline_daily_compare(t):
 @query
 def fallback_source_mix(t):
     counted = frames.baselines(t, VALID_START)[1].groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("source", ratio(F.col("n"), F.sum("n").over(eda.EVERYTHING)).alias("row_share"))
+    return counted.select("source", ratio(F.col("n"), F.sum("n").over(eda.everything())).alias("row_share"))
 
 
 def fit_with_dims(t) -> DataFrame:
