@@ -145,6 +145,9 @@ class Weights:
     other_tag: float
 
     def score(self, block: Block, seen: bool) -> float:
+        """A block's score. What is inside a landmark but marked as something else will be left out, so it parts nothing."""
+        if block.outside and block.landmark:
+            return 0.0
         each = float(np.clip(np.dot(self.words, features(block, seen)), -4, 4))
         return block.words * each + sum(self.tags.get(t, self.other_tag) for t in block.tags)
 
