@@ -113,15 +113,16 @@ class Memo(dict):
         return [b"".join(values) for values in found]
 
 
-#: The memo of each kind that a Python worker holds, with the name that it was made for.
-MEMOS: dict[str, tuple[tuple, Memo]] = {}
+#: The one memo that a Python worker holds, by the name that it was made for.
+MEMOS: dict[tuple, Memo] = {}
 
 
-def memo(kind: str, name: tuple, make: Callable[[], Callable[[list], list]]) -> Memo:
-    """The worker's memo of this kind; another name (vocabulary, model) replaces it, so memory stays bounded."""
-    if kind not in MEMOS or MEMOS[kind][0] != name:
-        MEMOS[kind] = (name, Memo(make()))
-    return MEMOS[kind][1]
+def memo(name: tuple, make: Callable[[], Callable[[list[bytes]], list[bytes]]]) -> Memo:
+    """The worker's memo of this name (a kind, and a vocabulary or model); it replaces any other, so memory stays bounded."""
+    if name not in MEMOS:
+        MEMOS.clear()
+        MEMOS[name] = Memo(make())
+    return MEMOS[name]
 
 
 def hash_share(rows: int, most: int, *columns: str) -> Column:

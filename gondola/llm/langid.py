@@ -137,8 +137,10 @@ def merged(parts: list, languages: int, missing: float) -> tuple[np.ndarray, np.
     return keys, values
 
 
-def calibrate(models: LanguageModels, rows: list[tuple[str, list[float]]], deviations: float) -> None:
-    """Set the sharpness of scores and the most bits a character that a language's text may take.
+def calibrate(models: LanguageModels, rows: list[tuple[str, list[float]]], deviations: float, slack: float = 1.5) -> None:
+    """Set the sharpness of scores and the most bits a character that a language's text may take: ``deviations`` above
+    the mean of its texts, and ``slack`` times that mean at least, so that texts with names, numbers or a foreign
+    passage pass.
 
     rows: (true language, bits a character in each language) of texts that the models have not seen.
     """
@@ -158,7 +160,7 @@ def calibrate(models: LanguageModels, rows: list[tuple[str, list[float]]], devia
         own = bits[truth == i, i]
         own = own[np.argmin(bits[truth == i], axis=1) == i]
         if len(own) >= 10:
-            models.most_bits[i] = max(own.mean() + deviations * own.std(), 1.1 * own.max())
+            models.most_bits[i] = max(own.mean() + deviations * own.std(), slack * own.mean())
 
 
 def fit(
@@ -166,7 +168,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    most_docs: int = 1500,
+    most_docs: int = 1000,
     deviations: float = 6.0,
 ) -> LanguageModels:
     """Fit models on ``labelled`` rows: about ``most_docs`` of each language, chosen by a hash of id and text.
@@ -184,8 +186,10 @@ def fit(
     sample = rows.filter(chosen)
     words = sample.filter(~tuning).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     counts: dict[str, Counter[str]] = {}
-    for lang, word, n in words.filter("word <> ''").groupBy("lang", "word").count().collect():
-        counts.setdefault(lang, Counter())[word] = n
+    found = words.filter("word <> ''").groupBy("lang", "word").count().toArrow()
+    for part in found.to_batches():
+        for lang, word, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            counts.setdefault(lang, Counter())[word] = n
     models = train(counts)
     if models.languages:
         held = measure(sample.filter(tuning), models, "id", "text", "lang").select("lang", "bits").collect()
@@ -209,7 +213,7 @@ def measurer(docs: DataFrame, models: LanguageModels) -> Callable[[list[bytes |
         return [x.tobytes() for x in values]
 
     def bits(texts: list[bytes | None]) -> list:
-        store = memo("languages", (name,), lambda: work)
+        store = memo(("languages", name), lambda: work)
         out = []
         for values in store.join([t.split() if t else [] for t in texts]):
             total = np.frombuffer(values, np.float32).reshape(-1, n + 1).sum(axis=0, dtype=float)

@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, se
     end = np.array([end_id], "<u4").tobytes()
 
     def make(rows: dict[str, list]) -> dict[str, object]:
-        store = memo("tokens", (tokenizer,), lambda: WordCoder(tokenizer))
+        store = memo(("tokens", tokenizer), lambda: WordCoder(tokenizer))
         coded = store.join([t.split() if t else [] for t in rows["text"]])
         out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids)}
         for doc_id, ids in zip(rows["doc_id"], coded, strict=True):

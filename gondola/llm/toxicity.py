@@ -160,7 +160,7 @@ def scorer(docs: DataFrame, model: FactorizationMachine) -> Callable[[list[bytes
         return out
 
     def scores(texts: list[bytes | None]) -> np.ndarray:
-        store = memo("toxic terms", (name,), lambda: work)
+        store = memo(("toxic terms", name), lambda: work)
         found = store.join([t.split() if t else [] for t in texts])
         return shared.value.score([np.unique(np.frombuffer(x, np.int32)) for x in found])
 
