@@ -44,18 +44,19 @@ class Forest:
     def search(self, vector: np.ndarray, probes: int) -> list[int]:
         """The ``probes`` leaves of all trees that a shared queue reaches first.
 
-        An entry's key is the least margin on its path: how far, at the worst, the vector lies on the wrong side.
+        An entry's key is the sum of the squared margins of the splits at which its path leaves the vector's side, which
+        estimates the squared distance to the far cell.
         """
         margins = self.normals @ vector - self.offsets if len(self.normals) else np.zeros(0)
-        queue = [(-np.inf, root) for root in self.roots]
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         out: list[int] = []
         while queue and len(out) < probes:
             key, node = heapq.heappop(queue)
             while node >= 0:
-                margin = margins[node]
+                margin = float(margins[node])
                 near = int(margin > 0)
-                heapq.heappush(queue, (max(key, abs(margin)), int(self.children[node, 1 - near])))
+                heapq.heappush(queue, (key + margin * margin, int(self.children[node, 1 - near])))
                 node = int(self.children[node, near])
             out.append(-1 - node)
         return out
@@ -103,7 +104,8 @@ def usable(column: str) -> Column:
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    """Vectors in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -127,8 +129,8 @@ def nearest(
     vector_col: str = "embedding",
     k: int = 20,
     trees: int = 16,
-    leaf_rows: int = 96,
-    probes: int = 160,
+    leaf_rows: int = 384,
+    probes: int = 190,
     most_sample: int = 40_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -152,7 +154,8 @@ def nearest(
     several vectors is one candidate for each of them. Empty tables give no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    read = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" == dict(queries.dtypes)[vector_col] else "array<double>"
+    read = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).filter(F.col("id").isNotNull() & usable("v"))
     found_sizes = read(vectors).groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.min(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("shortest")).orderBy(F.desc("n"), "size").first()
     if found_sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -181,7 +184,7 @@ def nearest(
     forest = grow(lift(grown, False), trees, share, seed)
     shared = spark.sparkContext.broadcast(forest)
 
-    rows_schema = "leaf int, ask boolean, ids array<long>, v array<double>"
+    rows_schema = f"leaf int, ask boolean, ids array<long>, v {kind}"
     out_rows = arrow_schema(spark, rows_schema)
 
     def deal(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
