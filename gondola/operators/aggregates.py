@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import log1p, ratio
@@ -30,9 +30,34 @@ def finish(table: DataFrame, keys: Iterable[str], mean: str = "mean", count: str
     return table.select(*keys, ratio(F.col("sum"), F.col("known")).alias(mean), *([F.col("count").alias(count)] if count else []))
 
 
-def prior_tables(clean_with_family: DataFrame, cutoff: dt.date) -> dict[tuple[str, ...], DataFrame]:
-    """Mean and log count of all rows before cutoff, by pair, item, store, family, and family and store."""
-    grain = sums(clean_with_family.filter(F.col("date") < F.lit(cutoff)), ["store_nbr", "item_nbr", "family_code"])
+#: The finest grain: family and class are functions of the item.
+GRAIN = ["store_nbr", "item_nbr", "family_code", "class", "weekday", "onpromotion"]
+
+
+def history_grain(rows: DataFrame, fit_start: dt.date, fit_end: dt.date, cutoff: dt.date) -> DataFrame:
+    """One aggregate, of one scan, from which all statistics of a fold are rolled up.
+
+    rows: cleaned training rows with the columns of GRAIN. By GRAIN: sum, rows and known targets of all rows before
+    cutoff (``*_all``), of those in the fit window, and of its last 28 and 56 days, which end with its greatest date.
+    """
+    in_fit = F.col("date").between(F.lit(fit_start), F.lit(fit_end))
+    before = rows.filter(F.col("date") < F.lit(cutoff))
+    last = before.filter(in_fit).agg(F.max("date").alias("_last"))
+    parts = {"_all": F.lit(True), "": in_fit, "28": in_fit & (F.datediff("_last", "date") <= 27), "56": in_fit & (F.datediff("_last", "date") <= 55)}
+    measures = []
+    for name, where in parts.items():
+        target = F.when(where, F.col("target"))
+        measures += [F.sum(target).alias(f"sum{name}"), F.count(F.when(where, F.lit(1))).alias(f"count{name}"), F.count(target).alias(f"known{name}")]
+    return before.crossJoin(F.broadcast(last)).groupBy(*GRAIN).agg(*measures)  # last is one row
+
+
+def part_of(grain: DataFrame, name: str = "") -> DataFrame:
+    """The groups of one part of a history grain, with sum, count and known."""
+    return grain.filter(F.col(f"count{name}") > 0).select(*GRAIN, *[F.col(f"{m}{name}").alias(m) for m in ("sum", "count", "known")])
+
+
+def prior_tables(grain: DataFrame) -> dict[tuple[str, ...], DataFrame]:
+    """Mean and log count of all history, by pair, item, store, family, and family and store."""
     names = {
         ("store_nbr", "item_nbr"): "si_all",
         ("item_nbr",): "item_all",
@@ -40,28 +65,19 @@ def prior_tables(clean_with_family: DataFrame, cutoff: dt.date) -> dict[tuple[st
         ("family_code",): "family_all",
         ("family_code", "store_nbr"): "family_store_all",
     }
-    return {k: finish(roll_up(grain, list(k)), k, f"{n}_mean", "n").withColumn(f"{n}_count_log", log1p(F.col("n"))).drop("n") for k, n in names.items()}
-
+    history = part_of(grain, "_all")
+    return {k: finish(roll_up(history.dropna(subset=list(k)), list(k)), k, f"{n}_mean", "n").withColumn(f"{n}_count_log", log1p(F.col("n"))).drop("n") for k, n in names.items()}
 
-def recent_tables(fit: DataFrame, last: Column | dt.date) -> list[tuple[tuple[str, ...], DataFrame]]:
-    """Means over the fit window, and over its last 28 and 56 days, which end at ``last``.
 
-    fit has weekday and family_code. All tables come from one aggregate by pair and weekday.
-    """
-    end = last if isinstance(last, Column) else F.lit(last)
-    days = F.datediff(end, "date")
-    recent = lambda n: F.when(days <= n - 1, F.col("target"))
-    grain = fit.groupBy("store_nbr", "item_nbr", "family_code", "weekday").agg(
-        F.sum("target").alias("sum"), F.count(F.lit(1)).alias("count"), F.count("target").alias("known"),
-        *[x for n in (28, 56) for x in (F.sum(recent(n)).alias(f"sum{n}"), F.count(recent(n)).alias(f"known{n}"))],
-    )
-    mean = lambda keys, name: finish(roll_up(grain, list(keys)), keys, name, None)
-    window = lambda n: grain.groupBy("store_nbr", "item_nbr").agg(ratio(F.sum(f"sum{n}"), F.sum(f"known{n}")).alias(f"si_recent{n}"))
+def recent_tables(grain: DataFrame) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """Means over the fit window, and over its last 28 and 56 days."""
+    fit = part_of(grain)
+    mean = lambda keys, name, rows=fit: finish(roll_up(rows, list(keys)), keys, name, None)
     pair = ("store_nbr", "item_nbr")
-    siw = finish(grain, (*pair, "weekday"), "siw_mean", "n").withColumn("siw_count_log", log1p(F.col("n"))).drop("n")
+    siw = finish(roll_up(fit, [*pair, "weekday"]), (*pair, "weekday"), "siw_mean", "n").withColumn("siw_count_log", log1p(F.col("n"))).drop("n")
     return [
-        (pair, window(28)),
-        (pair, window(56)),
+        (pair, mean(pair, "si_recent28", part_of(grain, "28"))),
+        (pair, mean(pair, "si_recent56", part_of(grain, "56"))),
         ((*pair, "weekday"), siw),
         (("family_code", "store_nbr", "weekday"), mean(("family_code", "store_nbr", "weekday"), "fsw_mean")),
         (("family_code", "weekday"), mean(("family_code", "weekday"), "fw_mean")),
@@ -84,10 +100,15 @@ def attach(rows: DataFrame, tables: Iterable[tuple[tuple[str, ...], DataFrame]])
     return rows
 
 
-def with_stats(rows: DataFrame, recent: list, prior: dict, fill_from: DataFrame, fills: tuple[str, ...] = ("dcoilwtico",)) -> DataFrame:
-    """rows with the recent and prior statistics (0 where there are none); the columns ``fills`` are filled with their
-    exact medians over ``fill_from``, or 0 if that has none."""
-    out = attach(rows, [*recent, *prior.items()]).fillna(0.0, list(STATS))
+def with_stats(rows: DataFrame, recent: list, prior: dict, fill_from: DataFrame | None = None, fills: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the recent and prior statistics, 0 where there are none.
+
+    The columns ``fills`` are filled with their exact medians over ``fill_from``, or 0 if that has none. The oil price
+    needs no median: a dense series has a price on every day, or on none, and then it is 0.
+    """
+    out = attach(rows, [*recent, *prior.items()]).fillna(0.0, [*STATS, "dcoilwtico"])
+    if not fills:
+        return out
     medians = fill_from.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_{c}") for c in fills])
     out = out.crossJoin(F.broadcast(medians))  # one row
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), f"_{c}") for c in fills}).drop(*[f"_{c}" for c in fills])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import clip0
-from gondola.operators.aggregates import roll_up, sums
+from gondola.operators.aggregates import GRAIN, roll_up, sums
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,6 @@ RECENT = (
     Level("weekday", ("weekday",), 1),
 )
 GLOBAL = "global_mean"
-GRAIN = ["store_nbr", "item_nbr", "family_code", "class", "weekday", "onpromotion"]
 
 
 def grain_of(fit: DataFrame, *by: str) -> DataFrame:
@@ -75,7 +74,7 @@ def overall_of(table: DataFrame, count: str = "count", *by: str) -> DataFrame:
     return table.groupBy(*by).agg(F.sum("sum").alias("sum"), F.sum(count).alias("count"))
 
 
-def fallback(rows: DataFrame, fit: DataFrame, *by: str) -> DataFrame:
-    """rows (weekday, onpromotion, family_code, class) with fallback_prediction and fallback_source, from fit rows."""
-    grain = grain_of(fit, *by)
+def fallback(rows: DataFrame, grain: DataFrame, *by: str) -> DataFrame:
+    """rows (weekday, onpromotion, family_code, class) with fallback_prediction and fallback_source, from a grain of the
+    fit rows (see grain_of)."""
     return cascade(rows, lookup_tables(grain, FALLBACK, *by), overall_of(grain, "known", *by), "fallback_prediction", "fallback_source", *by)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import add_calendar, item_weight, mean_of
-from gondola.operators.aggregates import STATS, derived, prior_tables, recent_tables, sums, with_stats
+from gondola.operators.aggregates import STATS, derived, history_grain, part_of, prior_tables, recent_tables, sums, with_stats
 from gondola.operators.external import FLAGS, dense_oil, with_common
 from gondola.operators.fallback import HIERARCHICAL, RECENT, cascade, fallback, grain_of, lookup_tables, overall_of, roll_up
 from gondola.operators.panel import rank_within, recent_biased_sample, zero_filled, zero_sample
 from gondola.operators.routing import SERIES, eligible_series, history_needed, series_index
 from gondola.operators.scoring import weighted_rmsle
+from gondola.sources.files import cut_lineage
 from gondola.sources.retail import Retail
 
 DAY = dt.timedelta(1)
@@ -32,27 +33,26 @@ LEGACY = (*CODES, *KNOWN, "transactions", "dcoilwtico", *FLAGS, *LEGACY_STATS)
 KEYS = ("date", "store_nbr", "item_nbr")
 
 
-def anchored(fit: DataFrame) -> DataFrame:
-    """fit with _last, its greatest date (one broadcast row)."""
-    return fit.crossJoin(F.broadcast(fit.agg(F.max("date").alias("_last"))))
+def with_grain_columns(rows: DataFrame, tables: Retail) -> DataFrame:
+    """rows with what the grain of statistics needs besides their keys."""
+    return add_calendar(rows).join(tables.item_meta, "item_nbr", "left")
 
 
-def recent_of(fit: DataFrame) -> list:
-    return recent_tables(anchored(fit), F.col("_last"))
-
-
-def prior_of(tables: Retail, cutoff: dt.date) -> dict:
-    return prior_tables(tables.clean.join(tables.item_meta.select("item_nbr", "family_code"), "item_nbr"), cutoff)
+def history(tables: Retail, fit_start: dt.date, fit_end: dt.date, cutoff: dt.date) -> DataFrame:
+    """The grain of a fold's statistics, computed once: it is as large as the pairs, not the facts, and 23 tables are
+    rolled up from it."""
+    return cut_lineage(history_grain(with_grain_columns(tables.clean, tables), fit_start, fit_end, cutoff))
 
 
 def observed_fold(tables: Retail, valid_start: dt.date, lookback: int, transactions: bool = False) -> DataFrame:
-    """Observed rows of a fold with all features, told apart by ``part`` ('fit', 'valid'). Oil and transactions are
-    filled with the medians of the fit part."""
+    """Observed rows of a fold with all features, told apart by ``part`` ('fit', 'valid'). Transactions are
+    filled with the median of the fit part."""
     fit_start, valid_end = valid_start - lookback * DAY, valid_start + (HORIZON - 1) * DAY
     rows = with_common(tables.rows_between(fit_start, valid_end), tables, fit_start, valid_end, transactions)
     rows = rows.withColumn("part", F.when(F.col("date") < F.lit(valid_start), "fit").otherwise("valid"))
     fit = rows.filter("part = 'fit'")
-    return with_stats(rows, recent_of(fit), prior_of(tables, valid_start), fit, ("dcoilwtico", "transactions") if transactions else ("dcoilwtico",))
+    grain = history(tables, fit_start, valid_start - DAY, valid_start)
+    return with_stats(rows, recent_tables(grain), prior_tables(grain), fit, ("transactions",) if transactions else ())
 
 
 def panel_fold(
@@ -61,7 +61,7 @@ def panel_fold(
     """The fit and the horizon part of a fold over the full panel.
 
     Statistics come from all fit rows, the fit part may then be a sample, with drawn implicit zeros added. Each part
-    is joined with features over its own days and fills its own medians. The horizon has every pair on every
+    is joined with features over its own days. The horizon has every pair on every
     day, the fallback forecast and the flag of items never sold.
     """
     fit_start, valid_end, last = valid_start - lookback * DAY, valid_start + (HORIZON - 1) * DAY, valid_start - DAY
@@ -69,14 +69,15 @@ def panel_fold(
     full = with_common(observed, tables, fit_start, last)
     panel = zero_filled(tables.universe, tables.rows_between(valid_start, valid_end), valid_start, valid_end)
     horizon = with_common(panel, tables, valid_start, valid_end)
-    recent, prior = recent_of(full), prior_of(tables, valid_start)
-    stats = lambda rows: derived(with_stats(rows, recent, prior, rows))
+    grain = history(tables, fit_start, last, valid_start)
+    recent, prior = recent_tables(grain), prior_tables(grain)
+    stats = lambda rows: derived(with_stats(rows, recent, prior))
     fit = stats(recent_biased_sample(full, most_fit))
     if zeros > 0:
         start = max(fit_start, valid_start - zero_days * DAY)
         drawn = zero_sample(tables.universe, observed, start, last, zeros)
         fit = fit.unionByName(stats(with_common(drawn, tables, start, last)))
-    return fit, fallback(stats(horizon), full).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
+    return fit, fallback(stats(horizon), part_of(grain)).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
 
 
 def test_frame(tables: Retail, train_end: dt.date, test_start: dt.date, test_end: dt.date, lookback: int) -> DataFrame:
@@ -85,11 +86,11 @@ def test_frame(tables: Retail, train_end: dt.date, test_start: dt.date, test_end
     The fit window is [train_end - lookback, train_end], a day more than in folds; history ends before test_start.
     """
     fit_start = train_end - lookback * DAY
-    full = with_common(tables.rows_between(fit_start, train_end), tables, fit_start, train_end)
+    grain = history(tables, fit_start, train_end, test_start)
     rows = tables.test.select("id", *KEYS, F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)).alias("onpromotion"))
     common = with_common(rows, tables, test_start, test_end)
-    out = derived(with_stats(common, recent_of(full), prior_of(tables, test_start), common))
-    return fallback(out, full).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
+    out = derived(with_stats(common, recent_tables(grain), prior_tables(grain)))
+    return fallback(out, part_of(grain)).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
 
 
 def series_fold(
@@ -105,8 +106,7 @@ def series_fold(
 
     def base(rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
         out = with_common(rows.fillna({"target": 0.0, "onpromotion": 0}), tables, start, end)
-        medians = out.agg(F.coalesce(F.median("dcoilwtico"), F.lit(0.0)).alias("_oil"))
-        out = out.crossJoin(F.broadcast(medians)).withColumn("dcoilwtico", F.coalesce("dcoilwtico", "_oil")).drop("_oil")
+        out = out.fillna(0.0, ["dcoilwtico"])  # dense: a price on every day or on none
         return series_index(out.fillna(0, list(CODES)).withColumn("target_log", F.log(F.col("target") + 1.0)), fit_start)
 
     fit = base(observed.filter(F.col("date") < F.lit(valid_start)), fit_start, last)
@@ -114,7 +114,7 @@ def series_fold(
     horizon = base(panel, valid_start, valid_end)
     seen = tables.clean.filter(F.col("date") < F.lit(valid_start))
     series = eligible_series(fit, horizon, seen, history_needed(least_points, encoder), most_series, seed)
-    horizon = fallback(horizon, fit).join(series.drop("enough_history_flag"), SERIES, "left")
+    horizon = fallback(horizon, grain_of(fit)).join(series.drop("enough_history_flag"), SERIES, "left")
     eligible = fit.join(series.filter("is_tft_eligible = 1"), pair, "left_semi")
     return eligible, horizon, series
 
@@ -189,7 +189,7 @@ def fold_scores(tables: Retail, settings: DataFrame) -> DataFrame:
     few = F.broadcast(settings)
     fit = rows.join(few, (F.col("date") >= F.col("fit_start")) & (F.col("date") < F.col("valid_start")))
     valid = rows.join(few, (F.col("date") >= F.col("valid_start")) & (F.col("date") <= F.col("valid_end")))
-    scored = fallback(valid, fit, "fold", "lookback").withColumn("weight", item_weight(F.col("perishable")))
+    scored = fallback(valid, grain_of(fit, "fold", "lookback"), "fold", "lookback").withColumn("weight", item_weight(F.col("perishable")))
     return scored.groupBy("fold", "lookback").agg(
         F.count(F.lit(1)).alias("rows"),
         weighted_rmsle(F.col("target"), F.col("fallback_prediction"), F.col("weight")).alias("weighted_rmsle"),

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import add_calendar, item_weight, mean_of, ratio
-from gondola.operators import eda, external, fallback, panel, routing, scoring
-from gondola.operators.aggregates import sums
+from gondola.operators import aggregates, eda, external, fallback, panel, routing, scoring
 from gondola.plans import frames, model
 from gondola.sources.retail import TEST_END, TRAIN_END, load
 
@@ -319,16 +318,20 @@ def fallback_tables(t):
 @query
 def hierarchical_fallback(t):
     valid = add_calendar(t.rows_between(VALID_START, VALID_END)).join(t.item_meta, "item_nbr", "left")
-    return fallback.fallback(valid, fit_with_dims(t)).select(*FRAME_KEYS, "target", "fallback_prediction", "fallback_source")
+    return fallback.fallback(valid, fallback.grain_of(fit_with_dims(t))).select(*FRAME_KEYS, "target", "fallback_prediction", "fallback_source")
 
 
 # -- statistics and feature frames ------------------------------------------------------------------------------------
 
 
+def latest(t) -> DataFrame:
+    return frames.history(t, FIT_START, FIT_END, VALID_START)
+
+
 @query
 def prior_aggregates(t):
     out = None
-    for keys, table in frames.prior_of(t, VALID_START).items():
+    for keys, table in aggregates.prior_tables(latest(t)).items():
         mean, log = [c for c in table.columns if c not in keys]
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
         part = table.select(F.lit(mean.removesuffix("_mean")).alias("table_name"), key.alias("key"), F.col(mean).alias("mean"), F.round(log, 6).alias("count_log"))
@@ -339,7 +342,7 @@ def prior_aggregates(t):
 @query
 def recent_window_stats(t):
     out = None
-    for keys, table in frames.recent_of(fit_with_dims(t)):
+    for keys, table in aggregates.recent_tables(latest(t)):
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
         for name in [c for c in table.columns if c not in keys]:
             part = table.select(F.lit(name).alias("statistic"), key.alias("key"), F.round(name, 6).alias("value") if name in ROUNDED else F.col(name).alias("value"))
@@ -431,7 +434,7 @@ def routed(t) -> DataFrame:
     """The horizon of the sequence model with the mean of the last 28 days standing in for it: 0 for an eligible
     series without one, as a model's missing output becomes 0, and nothing for other series."""
     horizon = series_fold(t)[1]
-    recent = sums(t.rows_between(VALID_START - 28 * DAY, FIT_END), ["store_nbr", "item_nbr"]).select("store_nbr", "item_nbr", (F.col("sum") / F.col("known")).alias("_mean"))
+    recent = aggregates.sums(t.rows_between(VALID_START - 28 * DAY, FIT_END), ["store_nbr", "item_nbr"]).select("store_nbr", "item_nbr", (F.col("sum") / F.col("known")).alias("_mean"))
     model_column = F.when(F.col("is_tft_eligible") == 1, F.coalesce("_mean", F.lit(0.0)))
     return routing.route(horizon.join(recent, ["store_nbr", "item_nbr"], "left").withColumn("tft_raw_prediction", model_column), "tft_raw_prediction")
 

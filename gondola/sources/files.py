@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,19 @@ def cached(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder.
+
+    The folder is the one that the session names in ``spark.checkpoint.dir``; only where none is set (local tests) is a
+    folder of this machine used.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gondola-checkpoint-"))
+    return df.checkpoint()
+
+
 def parse_optional(value: str | None) -> str | None:
     """A setting's text, or None for an empty one, 'none' or 'null'."""
     return None if value is None or value.strip().lower() in ("", "none", "null") else value

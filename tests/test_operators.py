@@ -85,7 +85,7 @@ FIT = "store_nbr int, item_nbr int, family_code int, class int, weekday int, onp
 
 def forecast(spark, fit, row):
     frame = spark.createDataFrame([row], "store_nbr int, item_nbr int, family_code int, class int, weekday int, onpromotion int")
-    return tuple(fallback.fallback(frame, spark.createDataFrame(fit, FIT)).select("fallback_prediction", "fallback_source").first())
+    return tuple(fallback.fallback(frame, fallback.grain_of(spark.createDataFrame(fit, FIT))).select("fallback_prediction", "fallback_source").first())
 
 
 def test_fallback_takes_the_first_level_with_enough_rows(spark):
