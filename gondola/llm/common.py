@@ -12,23 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gondola.sources.files import cut_lineage  # noqa: F401  the operators take it from here
+
 #: Rows taken from an Arrow batch at a time, so that Python objects of few long texts live at once.
 SLICE_ROWS = 256
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where none is set (local
-    tests) is a folder of this machine used.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gondola-checkpoint-"))
-    return df.checkpoint()
-
-
 #: Applications whose executors have been sent this package.
 SHIPPED: set[str] = set()
 
