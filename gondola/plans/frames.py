@@ -80,17 +80,27 @@ def panel_fold(
     return fit, fallback(stats(horizon), part_of(grain)).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
 
 
-def test_frame(tables: Retail, train_end: dt.date, test_start: dt.date, test_end: dt.date, lookback: int) -> DataFrame:
-    """The test rows with all features, the fallback forecast and the flag of items never sold.
+def final_frames(
+    tables: Retail, train_end: dt.date, test_start: dt.date, test_end: dt.date, lookback: int, most_fit: int | None = None, zeros: int = 0, zero_days: int = 28
+) -> tuple[DataFrame, DataFrame]:
+    """The fit part up to train_end, and the test rows with all features, the fallback forecast and the flag of items
+    never sold.
 
-    The fit window is [train_end - lookback, train_end], a day more than in folds; history ends before test_start.
+    The fit window is [train_end - lookback, train_end], a day more than in folds, and so is that of the zeros
+    [train_end - zero_days + 1, train_end]; history ends before test_start.
     """
     fit_start = train_end - lookback * DAY
+    observed = tables.rows_between(fit_start, train_end)
     grain = history(tables, fit_start, train_end, test_start)
+    recent, prior = recent_tables(grain), prior_tables(grain)
+    stats = lambda rows, start, end: derived(with_stats(with_common(rows, tables, start, end), recent, prior))
+    fit = stats(recent_biased_sample(observed, most_fit), fit_start, train_end)
+    if zeros > 0:
+        start = max(fit_start, train_end - (zero_days - 1) * DAY)
+        fit = fit.unionByName(stats(zero_sample(tables.universe, observed, start, train_end, zeros), start, train_end))
     rows = tables.test.select("id", *KEYS, F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)).alias("onpromotion"))
-    common = with_common(rows, tables, test_start, test_end)
-    out = derived(with_stats(common, recent_tables(grain), prior_tables(grain)))
-    return fallback(out, part_of(grain)).withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
+    test = fallback(stats(rows, test_start, test_end), part_of(grain))
+    return fit, test.withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
 
 
 def series_fold(

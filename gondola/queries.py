@@ -380,7 +380,7 @@ def sampled_fit_features(t):
 
 @query
 def test_features(t):
-    out = frames.test_frame(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK)
+    out = frames.final_frames(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK)[1]
     return shown(out, "id", *FRAME_KEYS, *frames.FEATURES, *frames.DERIVED, "fallback_prediction", "fallback_source", "unseen_item_flag")
 
 
@@ -465,7 +465,7 @@ def blended_prediction(t):
 
 @query
 def unseen_summary(t):
-    out = frames.test_frame(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK)
+    out = frames.final_frames(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK)[1]
     return rounded(out.groupBy("unseen_item_flag").agg(F.count(F.lit(1)).alias("rows"), mean_of(F.col("fallback_prediction")).alias("mean_prediction")), "mean_prediction")
 
 
@@ -499,7 +499,7 @@ def cv_summary(t):
 
 @query
 def submission_consistency(t):
-    predictions = frames.test_frame(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK).select("id", F.col("fallback_prediction").alias("final_prediction"), "unseen_item_flag")
+    predictions = frames.final_frames(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK)[1].select("id", F.col("fallback_prediction").alias("final_prediction"), "unseen_item_flag")
     submission = predictions.select("id", F.col("final_prediction").alias("unit_sales"))
     both = submission.groupBy("id").agg(F.count(F.lit(1)).alias("s"), F.sum("unit_sales").alias("us")).join(predictions.groupBy("id").agg(F.count(F.lit(1)).alias("p"), F.sum("final_prediction").alias("fp")), "id", "full")
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

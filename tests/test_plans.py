@@ -57,3 +57,17 @@ def test_trees_fit_and_keep_rows(tables):
     out = model.predict(fitted, horizon)
     assert out.count() == horizon.count() and out.filter("model_prediction < 0 or model_prediction is null").isEmpty()
     assert abs(sum(x for _, x in model.importances(fitted)) - 1) < 1e-6
+
+
+def test_back_test_and_forecast_end_to_end(spark, tables, tmp_path):
+    from gondola.plans.backtest import Settings, run
+    from gondola.sources import files
+
+    s = Settings(q.TRAIN_END, q.TEST_START, q.TEST_END, (112,), folds=2, most_fit=150, zeros=30, least_weight=0.85, trees={"maxIter": 1, "maxDepth": 2})
+    made = run(tables, s, str(tmp_path))
+    assert made["cross_validation"]["best_lookback"] == 112 and len(made["cross_validation"]["scores"]) == 2
+    submission = files.read_submission(spark, f"{tmp_path}/submission")
+    assert submission.count() == tables.test.count() == made["forecast"]["rows"]
+    assert submission.filter("unit_sales is null or unit_sales < 0").isEmpty() and submission.select("id").distinct().count() == submission.count()
+    with pytest.raises(ValueError):
+        Settings(q.TEST_END, q.TEST_START, q.TEST_END)
