@@ -103,6 +103,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def quality_sql() -> str:
+    """op4_quality by plain windows over words and lines."""
+    from gondola.llm.quality import MOST_IN_LINES, MOST_REPEATED
+
+    word = r"[^\x20\x09-\x0D]+"
+    gram = lambda n: f"""(SELECT r, i, size, max(CASE WHEN whole AND times > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM
+        (SELECT *, count(*) OVER (PARTITION BY r, gram, whole) AS times FROM (SELECT r, i, length(word) AS size,
+            string_agg(word, ' ') OVER own AS gram, count(*) OVER own = {n} AS whole FROM words WINDOW own AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING))))"""
+    share = lambda x: f"coalesce({x}, 0) / greatest(coalesce(word_chars, 0), 1)"
+    joins = " ".join(f"LEFT JOIN (SELECT r, sum(size * inside) AS in_{n} FROM {gram(n)} GROUP BY r) USING (r)" for n in MOST_REPEATED)
+    return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '{word}') AS ws FROM texts)),
+    lines AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)),
+    figures AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        {", ".join(f"{share(f'in_{n}')} AS share_{n}" for n in MOST_REPEATED)}, {share('in_lines')} AS share_lines
+        FROM texts LEFT JOIN (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY r) USING (r)
+        LEFT JOIN (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS in_lines FROM lines WHERE n > 1 AND regexp_matches(line, '{word}') GROUP BY r) USING (r)
+        LEFT JOIN (SELECT r, sum(inside) AS n_repeat_words FROM {gram(3)} GROUP BY r) USING (r) {joins})
+    SELECT *, NOT (base_failed OR share_lines > {MOST_IN_LINES} OR {" OR ".join(f"share_{n} > {x}" for n, x in MOST_REPEATED.items())}) AS kept
+    FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL can express none of these in full: they need XXH64, CRC-32, fitted models or vocabularies."""
-    return {}
+    """SQL of op4_quality. The others need XXH64, CRC-32, fitted models, vocabularies or an approximate search."""
+    return {"op4_quality": quality_sql()}

@@ -277,3 +277,19 @@ def test_sentencepiece_frames(spark):
     lengths = sorted(coded.selectExpr("coalesce(doc_id, 0) as i", "size(ids) as n").collect())
     assert [r["n_tokens"] for r in digest] == [r["n"] for r in lengths] and all(r["round_trip"] for r in digest)
     assert sentencepiece.digest(documents(spark, []), PIECES).collect() == []
+
+
+def test_quality_equals_its_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from gondola.llm.queries import oracle_sql
+
+    rng = np.random.default_rng(6)
+    texts = [*ODD, *("\n".join(" ".join(rng.choice(["a", "bb", "é#", "d"], rng.integers(0, 9))) for _ in range(rng.integers(1, 20))) for _ in range(30))]
+    documents_table = pa.table({"doc_id": list(range(len(texts))), "text": pa.array([t.replace("\x00", "") if t else t for t in texts])})
+    con = duckdb.connect()
+    con.register("documents", documents_table)
+    wanted = sorted(con.execute(oracle_sql()["op4_quality"]).to_arrow_table().to_pylist(), key=lambda r: r["doc_id"])
+    made = quality.quality(spark.createDataFrame(documents_table.to_pylist(), "doc_id long, text string")).toArrow().to_pylist()
+    assert sorted(made, key=lambda r: r["doc_id"]) == [{k: r[k] for k in made[0]} for r in wanted]
