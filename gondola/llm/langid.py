@@ -20,6 +20,9 @@ START, END = 1, 2
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters that an unseen one is one of.
 ALPHABET = 4096
+#: Bits a character by which short texts may take more: this over the root of their characters, as the mean of few
+#: characters strays further.
+SHORT = 10.0
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -198,7 +201,8 @@ def fit(
 
 
 def measurer(docs: DataFrame, models: LanguageModels) -> Callable[[list[bytes | None]], list]:
-    """What gives, on the executors, the bits a character of texts in each language; empty for a text without letters."""
+    """What gives, on the executors, the bits a character of texts in each language (none for a text without letters)
+    and their characters."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     name, n = models.name, len(models.languages)
 
@@ -217,31 +221,32 @@ def measurer(docs: DataFrame, models: LanguageModels) -> Callable[[list[bytes |
         out = []
         for values in store.join([t.split() if t else [] for t in texts]):
             total = np.frombuffer(values, np.float32).reshape(-1, n + 1).sum(axis=0, dtype=float)
-            out.append(total[:n] / total[n] if total[n] else [])
+            out.append((total[:n] / total[n] if total[n] else [], int(total[n])))
         return out
 
     return bits
 
 
 def measure(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Bits a character of each whole text in each language (empty: no letters), and the columns ``more``."""
-    bits = measurer(docs, models)
+    """Bits a character of each whole text in each language (empty: no letters), its characters, and the columns ``more``."""
+    measured = measurer(docs, models)
 
     def make(rows: dict[str, list]) -> dict[str, object]:
-        return {k: v for k, v in rows.items() if k != "_text"} | {"bits": bits(rows["_text"])}
+        got = measured(rows["_text"])
+        return {k: v for k, v in rows.items() if k != "_text"} | {"bits": [b for b, _ in got], "chars": [n for _, n in got]}
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *more))
-    return map_slices(docs.select(id_col, *more, as_bytes(text_col).alias("_text")), make, f"{schema}, bits array<double>")
+    return map_slices(docs.select(id_col, *more, as_bytes(text_col).alias("_text")), make, f"{schema}, bits array<double>, chars long")
 
 
 def drop_foreign(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
     """docs without the rows that predict() would mark rejected; all columns pass through."""
-    bits = measurer(docs, models)
+    measured = measurer(docs, models)
     most = models.most_bits
 
     def keep(texts: list[bytes | None]) -> list[bool]:
-        return [len(b) > 0 and (most is None or b[i := int(np.argmin(b))] <= most[i]) for b in bits(texts)]
+        return [len(b) > 0 and (most is None or b[i := int(np.argmin(b))] <= most[i] + SHORT / n**0.5) for b, n in measured(texts)]
 
     return keep_rows(docs, text_col, keep)
 
@@ -251,8 +256,8 @@ def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", tex
 
     lang_pred: the language whose model takes fewest bits a character, ties to the earlier name; 'und' if the text
     is null or has no letter, or there are no models. score: the calibrated share of that language, 0 for 'und'.
-    bits: what it takes. rejected: 'und', or more bits than texts of the language take (see fit), as text of a
-    language outside the models does.
+    bits: what it takes. rejected: 'und', or more bits than texts of the language take (see calibrate; short
+    texts may take more), as text of a language outside the models does.
 
     Returns one row per input row: doc_id, lang_pred, score, bits, rejected. Null ids and repeated rows are kept;
     an empty table gives no rows. No other column is read.
@@ -275,6 +280,6 @@ def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", tex
             F.when(known, at(names)).otherwise(UNKNOWN).alias("lang_pred"),
             F.when(known, 1 / weight).otherwise(0.0).alias("score"),
             F.col("low").alias("bits"),
-            F.when(known, F.col("low") > at(most)).otherwise(True).alias("rejected"),
+            F.when(known, F.col("low") > at(most) + SHORT / F.sqrt("chars")).otherwise(True).alias("rejected"),
         )
     )
