@@ -34,7 +34,7 @@ OUTSIDE_WORDS = frozenset(
     "breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager login search searchbox tags copyright skip contentinfo "
     "complementary form teaser outbrain taboola".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEGATED = frozenset("with has no without".split())
 LANDMARKS = frozenset(["article", "main"])
 FEATURES = ("plain", "outside", "linked", "in_landmark", "past_landmark", "listed")
 
@@ -59,6 +59,8 @@ def is_outside(tag: str, rest: str, in_landmark: bool) -> bool:
     if "=" not in rest or tag in LANDMARKS or tag in ("body", "html"):
         return False
     words = {w for m in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())}
+    if words & NEGATED:  # such as has-sidebar, which names what stands beside
+        return False
     return bool(words & OUTSIDE_WORDS) or not in_landmark and "header" in words
 
 
@@ -67,7 +69,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     body = re.search(r"<body\b", page, re.I)
     head = re.search(r"</head\s*>", page, re.I)
     at = head.end() if head else body.start() if body else 0
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []  # of each open element the name and what it added to ``outside``
     outside = landmark = links = lists = 0
     seen = False
     out: list[Block] = []
@@ -102,7 +104,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             continue
         end = bool(m["end"])
         hidden = not end and tag not in VOID and is_outside(tag, m["rest"], landmark > 0)
-        if tag not in INLINE or hidden or (tag == "span" and end and stack and stack[-1] == ("span", True)):
+        if tag not in INLINE or hidden or (tag == "span" and end and stack and stack[-1] == ("span", 1)):
             close()
         tags.append("/" + tag if end else tag)
         if end:
@@ -120,8 +122,9 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
                 stack.pop()
                 links -= tag == "a"
                 lists -= tag == "li"
-            stack.append((tag, hidden))
-            outside += hidden
+            added = -outside if tag == "main" else int(hidden)  # what is the main part of a page is no menu
+            stack.append((tag, added))
+            outside += added
             landmark += tag in LANDMARKS
             seen |= tag in LANDMARKS
             links += tag == "a"

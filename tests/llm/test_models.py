@@ -199,6 +199,12 @@ def test_one_page():
     assert got == "A & B\nFirst bold text <tag> 5 > 3 ok.\nShort.\nPoint one\nPoint two\nOf."
 
 
+def test_names_of_layouts_do_not_hide_the_article():
+    weights = extraction.default_weights()
+    for page in ('<div class="layout has-sidebar"><article><p>one two three</p></article><div class="sidebar">x y z</div></div>', '<div class="menu page"><main><p>one two three</p></main><p>x y z</p></div>', '<div id="content"><p>one two three</p><div class="comments"><p>x y z</p></div></div>'):
+        assert extraction.main_text(page, weights) == "one two three"
+
+
 def test_odd_pages(spark):
     pages = [None, "", "<", "plain words without any tag at all", "<article>", "<p>" * 5000, "<nav>only menu</nav>", "<article>" + "<p>word word</p>" * 5000, '<a title="a>b" href=x>l</a><article>x &#x41;&bogus; y</article', "<script>never closed <p>x</p>"]
     rows = [(None if i == 3 else i, None if i == 4 else "u", p, "t", 3) for i, p in enumerate(pages)]
