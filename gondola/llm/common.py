@@ -82,7 +82,7 @@ class Memo(dict):
     Words that come when it is full are worked out again for each slice, so a bound on memory changes no result.
     """
 
-    def __init__(self, work: Callable[[list[bytes]], list[bytes]], most: int = 600_000):
+    def __init__(self, work: Callable[[list[bytes]], list[bytes]], most: int = 400_000):
         super().__init__()
         self.work, self.most = work, most
 
