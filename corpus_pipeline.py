@@ -26,7 +26,7 @@ def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each component of near-duplicates."""
+    """One document, of the smallest id, of each component of texts with a similarity of 0.8 or more in five-word shingles."""
     return simhash.deduplicate(docs)
 
 

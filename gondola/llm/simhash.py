@@ -368,26 +368,201 @@ def near_duplicates(
     return salted.join(shared, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+# -- near copies by the similarity of shingle sets -----------------------------------------------------------------
+
+#: Bands and minima in a band: at a similarity of 0.8 a pair shares no band with a chance of 3 in 100,000.
+BANDS, BAND_ROWS = 20, 4
+#: Odd multipliers, each of which puts all 64-bit hashes into another order.
+ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct XXH64 of each text's word shingles; a text of fewer words is one shingle."""
+    digest, out = xxhash.xxh64_intdigest, []
+    for text in texts:
+        words = text.lower().split() if text else []
+        if len(words) > width:
+            rows = {digest(b" ".join(x), SEED) for x in zip(*[words[i:] for i in range(width)])}
+        else:
+            rows = {digest(b" ".join(words), SEED)} if words else ()
+        out.append(np.sort(np.fromiter(rows, np.uint64, len(rows))))
+    return out
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[sets, BANDS]: a hash of each band's minima, of sets (none empty) that stand one after another in hashes."""
+    starts = np.cumsum(counts) - counts
+    keys = np.zeros((len(counts), BANDS), np.uint64)
+    for i, order in enumerate(ORDERS):
+        band = keys[:, i // BAND_ROWS]
+        low = np.minimum.reduceat(hashes * order, starts)
+        band[:] = (band ^ low) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(29)
+    return keys
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Of each row doc_id, text_key (a hash of the text), node (of its shingle set), fp (SimHash of that set), size and band keys."""
+
+    def make(rows: dict[str, list]) -> dict[str, object]:
+        sets = shingle_sets(rows["text"], width)
+        counts = np.array([len(x) for x in sets], np.int64)
+        hashes = np.concatenate(sets)
+        own = np.flatnonzero(counts)
+        keys = iter(band_keys(hashes, counts[own]).view(np.int64) if len(own) else ())
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+        bands = [next(keys) if c else [] for c in counts.tolist()]
+        return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "node": node.view(np.int64), "fp": majority(hashes, counts).view(np.int64), "size": counts, "bands": bands}
+
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
+    return map_slices(thin, make, "doc_id long, text_key long, node long, fp long, size long, bands array<long>")
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def may_be_near(fp: np.ndarray, size: np.ndarray, one: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """[one, all]: whether the SimHash and the sizes of two sets allow a similarity of ``least``."""
+    near = np.bitwise_count(fp[one, None] ^ fp[None, :]) <= radius
+    small, large = np.minimum(size[one, None], size[None, :]), np.maximum(size[one, None], size[None, :])
+    return near & (small >= least * large)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows that agree in the first ``keys`` columns, of batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
+                yield held
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield held
+
+
+def candidate_links(distinct: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that connect, within each bucket of a band, the sets that may be near."""
+    out = arrow_schema(distinct.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        waiting = 0
+        for group in sorted_groups(batches, 2):
+            n = sum(b.num_rows for b in group)
+            if n < 2:
+                continue
+            node, fp, size = (np.concatenate([b.column(i).to_numpy() for b in group]) for i in (2, 3, 4))
+            fp, label = fp.view(np.uint64), np.arange(n)  # of a signed number, bitwise_count counts another's bits
+            step = max(1, LANES_AT_ONCE // n)
+            for at in range(0, n, step):
+                row, column = np.nonzero(may_be_near(fp, size, np.arange(at, min(at + step, n)), radius, least))
+                a, b = label[row + at], label[column]
+                apart = a != b
+                if apart.any():
+                    label = roots(n, a[apart], b[apart])[label]
+            moved = label != np.arange(n)
+            found.append(np.stack([node[moved], node[label[moved]]]))
+            waiting += int(moved.sum())
+            if waiting > LANES_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], schema=out)
+                found, waiting = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], schema=out)
+
+    keyed = distinct.select(F.posexplode("bands").alias("band", "value"), "node", "fp", "size")
+    dealt = keyed.repartition("band", "value").sortWithinPartitions("band", "value")
+    return map_batches(dealt, run, "a long, b long").distinct()
+
+
+def similar_groups(sets: list[np.ndarray], fp: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """The first member that each set reaches over pairs whose exact Jaccard similarity is at least ``least``.
+
+    A set is compared with those that its group does not hold yet, the nearest by SimHash first, so copies of one
+    text cost a comparison each.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    label = np.arange(n)
+    for i in range(1, n):
+        distance = np.bitwise_count(fp[:i] ^ fp[i])
+        open_ = np.flatnonzero((distance <= radius) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])))
+        for j in open_[np.argsort(distance[open_], kind="stable")]:
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= least * (size[i] + size[j] - both) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
+
+
+def verified_groups(docs: DataFrame, text_col: str, candidates: DataFrame, width: int, radius: int, least: float) -> DataFrame:
+    """node and group, a node of its group, of the candidates (node, text_key, label) with another node in their group."""
+    out = arrow_schema(docs.sparkSession, "node long, group long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 1):
+            node, sets, fps = [], [], []
+            for batch in group:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    new = shingle_sets(part.column(2).to_pylist(), width)
+                    sets += new
+                    fps.append(majority(np.concatenate(new), np.array([len(x) for x in new], np.int64)))
+                    node.append(part.column(1).to_numpy())
+            node = np.concatenate(node)
+            label = similar_groups(sets, np.concatenate(fps), radius, least)
+            shared = np.bincount(label, minlength=len(label))[label] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(node[shared]), pa.array(node[label[shared]])], schema=out)
+
+    texts = docs.select(text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
+    met = texts.join(candidates, "text_key").dropDuplicates(["node"]).select("label", "node", "text")
+    return map_batches(met.repartition("label").sortWithinPartitions("label"), run, "node long, group long")
+
+
+def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, least: float) -> DataFrame:
+    """Each row's doc_id, text_key, node and component_id, the smallest id that is reachable over similar texts."""
+    rows = cut_lineage(sketches(docs, id_col, text_col, width))
+    distinct = cut_lineage(
+        rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), *[F.any_value(c).alias(c) for c in ("fp", "size", "bands")])
+    )
+    labels = components(candidate_links(distinct, radius, least))
+    candidates = labels.join(distinct.select("node", "text_key"), "node")
+    groups = cut_lineage(verified_groups(docs, text_col, candidates, width, radius, least))
+    reps = distinct.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
+    of_node = reps.join(reps.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("node", "group", "component_id")
+    # rows of one set are spread over salts
+    salts = of_node.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.select("doc_id", "text_key", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(salts, ["node", "salt"]).select("doc_id", "text_key", "node", "group", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, least: float = 0.8) -> DataFrame:
     """docs with one row of each component of near-duplicates: the one of the smallest id, all columns as they are.
 
+    Two texts are linked where the Jaccard similarity of their sets of ``width``-word shingles is ``least`` or more.
+    Equal sets are merged first; sets that share a band of minima, and whose SimHash differs in up to ``radius`` bits
+    (a similarity of 0.8 makes about 10), are candidates, and the exact similarity of their shingles decides. Texts without words
+    are one component. A component of candidates is compared in one task.
+
     Of repeated rows (equal ids in a component's smallest) one stays. Rows with a null id stay only where their
-    component has no other; of those, one for each fingerprint. The texts are shuffled once, by id.
+    component has no other; of those, one for each component. The texts are shuffled once, by id, and those of
+    candidates once more.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius)
+    found = cut_lineage(similar_components(docs, id_col, text_col, width, radius, least))
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
     named = named.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _fp long"
-    out = arrow_schema(docs.sparkSession, schema)
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = fingerprint_texts(batch.column(at).cast(pa.binary()).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, out, strict=False)] + [pa.array(fp)], schema=out)
-
-    alone = found.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_alone")).distinct()
-    unnamed = map_batches(docs.filter(F.col(id_col).isNull()), attach, schema)
-    unnamed = unnamed.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    alone = found.filter("component_id is null").groupBy("group").agg(F.min("text_key").alias("_alone")).select("_alone")
+    unnamed = docs.filter(F.col(id_col).isNull()).withColumn("_key", text_key(text_col))
+    unnamed = unnamed.join(alone, F.col("_key") == F.col("_alone"), "left_semi").dropDuplicates(["_key"]).drop("_key")
     return named.union(unnamed)

@@ -118,3 +118,39 @@ def test_components_of_documents(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).collect() == [] and simhash.deduplicate(none).collect() == []
+
+
+def jaccard(a, b, width=5):
+    one, two = ({tuple(x.split()[i : i + width]) for i in range(len(x.split()) - width + 1)} for x in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_edited_copies_are_found_by_five_word_similarity(spark):
+    rng = np.random.default_rng(4)
+    rows, wanted, similarities = [], {}, []
+    for base in range(0, 3000, 100):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        rows.append((base, " ".join(words), 0))
+        for copy in range(1, 7):
+            edited = list(words)
+            for at in rng.choice(400, 2 * copy - 1, replace=False):
+                edited[at] = f"edit{rng.integers(10**6)}"
+            rows.append((base + copy, " ".join(edited), 0))
+    texts = {i: t for i, t, _ in rows}
+    parent = {i: i for i in texts}
+    for base in range(0, 3000, 100):
+        family = [base + i for i in range(7)]
+        changed = True
+        while changed:
+            changed = False
+            for a in family:
+                for b in family:
+                    if a < b and parent[a] != parent[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                        low, high = sorted((parent[a], parent[b]))
+                        parent |= {x: low for x in family if parent[x] == high}
+                        changed = True
+        similarities += [jaccard(texts[base], texts[base + i]) for i in range(1, 7)]
+    wanted = {i for i in texts if parent[i] == i}
+    assert sum(0.8 <= x <= 0.95 for x in similarities) > 60 and sum(x < 0.8 for x in similarities) > 20
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == wanted
