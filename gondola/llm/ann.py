@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,10 @@ from gondola.llm.common import arrow_schema, cut_lineage, hash_share, map_batche
 
 #: Results that a task gathers before it cuts them to each query's best.
 MOST_WAITING = 1_000_000
+#: Leaves of a tree, about, beyond which leaves hold more rows instead, so that a query meets a bounded number of leaves.
+MOST_LEAVES = 128
+#: Queries whose true neighbours are found by brute force to learn the number of probes.
+TRIED = 200
 
 
 @dataclass
@@ -122,6 +126,48 @@ def best_of(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int)
     return order[rank < k]
 
 
+def probes_for(forest: Forest, index: DataFrame, asked: DataFrame, lift: Callable[[np.ndarray, bool], np.ndarray], size: int, k: int, least_recall: float) -> int:
+    """The fewest probes that reach ``least_recall`` of the true neighbours of TRIED queries, found by brute force over index.
+
+    A neighbour is reached by the first of its leaves, one in each tree, that a query's queue gives.
+    """
+    tried = asked.orderBy(F.xxhash64("v"), "ids").limit(TRIED).toArrow()
+    if not tried.num_rows:
+        return len(forest.roots)
+    own, vectors = tried.column("ids").combine_chunks().flatten().to_numpy(), matrix(tried.column("v").combine_chunks(), size)
+    kind = dict(index.dtypes)["v"]
+    schema = f"q int, score double, ids array<long>, v {kind}"
+    out = arrow_schema(index.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                scores = vectors @ matrix(part.column("v"), size).T
+                most = min(k + 1, scores.shape[1])
+                what = np.argpartition(-scores, most - 1, axis=1)[:, :most].ravel()
+                q = np.repeat(np.arange(len(vectors), dtype=np.int32), most)
+                rows = part.take(pa.array(what))
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(scores[q, what]), rows.column("ids").cast(out.field("ids").type), rows.column("v").cast(out.field("v").type)], schema=out)
+
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0]))
+    best = map_batches(index.select("ids", "v"), run, schema).withColumn("place", place).filter(F.col("place") <= k + 1).orderBy("q", "place").toArrow()
+    asking, ids = best.column("q").to_numpy(), best.column("ids").to_pylist()
+    leaves = forest.leaves_of(lift(matrix(best.column("v").combine_chunks(), size), False))
+    needed: list[int] = []
+    for i, lifted in enumerate(lift(vectors, True)):
+        turn = np.empty(forest.leaves, np.int64)
+        order = forest.search(lifted, forest.leaves)
+        turn[order] = np.arange(1, len(order) + 1)
+        found: list[int] = []
+        for row in np.flatnonzero(asking == i):
+            found += [int(turn[leaves[row]].min())] * sum(x != own[i] for x in ids[row])
+        needed += found[:k]
+    if not needed:
+        return len(forest.roots)
+    return max(len(forest.roots), sorted(needed)[int(np.ceil(least_recall * len(needed))) - 1])
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -130,22 +176,24 @@ def nearest(
     k: int = 20,
     trees: int = 16,
     leaf_rows: int = 384,
-    probes: int = 190,
+    probes: int | None = None,
     most_sample: int = 40_000,
     seed: int = 7,
+    least_recall: float = 0.95,
 ) -> DataFrame:
     """The k vectors of largest inner product, of those that a forest of random-projection trees finds.
 
     The trees are grown on about ``most_sample`` vectors (chosen by a hash of id and vector); every vector is then
     put into its leaf in each tree, so all rows are indexed. A query takes ``probes`` leaves from all trees by one
-    priority queue; leaves meet their queries, and the exact inner products, in double precision on the original
+    priority queue; if none are given, as many as give ``least_recall`` on TRIED of the queries, whose true neighbours
+    among all rows are found by brute force. Leaves meet their queries, and the exact inner products, in double precision on the original
     vectors, give the k best of each leaf and then of all. For directions the trees see vectors scaled to unit
     length, which keeps the order of inner products where lengths are equal; where they differ, one more component
     that makes all lengths equal is added to the candidates (0 for queries), which reduces the largest inner
     product to the nearest direction.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which are all that can be among the k nearest.
-    Leaves grow with the table once the sample is all used (table rows / sample leaves each); a leaf is read in
+    Leaves hold about ``leaf_rows`` rows, and more once a tree would have over MOST_LEAVES of them; a leaf is read in
     blocks, as Arrow batches come. A task keeps each query's k best of all its leaves.
 
     Returns query_id, rank (from 1), vec_id, score, with a query's own id left out; fewer than k rows where fewer
@@ -180,9 +228,12 @@ def nearest(
     sample = index.filter(hash_share(n, most_sample, "v")).select("v").toArrow()
     grown = matrix(sample.column("v").combine_chunks(), size)
     grown = grown[np.lexsort(grown.T)]
-    share = max(1, round(leaf_rows * len(grown) / max(n, 1)))
+    share = max(1, round(leaf_rows * len(grown) / max(n, 1)), -(-len(grown) // MOST_LEAVES))
     forest = grow(lift(grown, False), trees, share, seed)
     shared = spark.sparkContext.broadcast(forest)
+    asked = read(queries).filter(F.size("v") == size).dropDuplicates(["id", "v"]).select(F.array("id").alias("ids"), "v")
+    if probes is None:
+        probes = probes_for(forest, index, asked, lift, size, k, least_recall)
 
     rows_schema = f"leaf int, ask boolean, ids array<long>, v {kind}"
     out_rows = arrow_schema(spark, rows_schema)
@@ -197,7 +248,6 @@ def nearest(
                 leaf = np.concatenate([np.array(x, np.int32) for x in chosen])
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(of), query)), part.column("ids").take(pa.array(of)).cast(out_rows.field("ids").type), part.column("v").take(pa.array(of)).cast(out_rows.field("v").type)], schema=out_rows)
 
-    asked = read(queries).filter(F.size("v") == size).dropDuplicates(["id", "v"]).select(F.array("id").alias("ids"), "v")
     indexed = map_batches(index.select("ids", "v"), lambda b: deal(b, False), rows_schema)
     asks = map_batches(asked, lambda b: deal(b, True), rows_schema)
     out = arrow_schema(spark, FOUND)

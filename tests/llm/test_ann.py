@@ -69,3 +69,16 @@ def test_forest_search_reaches_every_leaf():
     assert sorted(forest.search(v[0], 10**6)) == list(range(forest.leaves))
     assert forest.search(v[0], 3)[0] in leaves[0] and set(leaves[0]) <= set(forest.search(v[0], 3))
     assert np.bincount(leaves[:, 0]).max() <= 10
+
+
+def test_recall_holds_where_leaves_are_many(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 32)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    queries = rows[::200]
+    got = found(ann.nearest(frame(spark, rows), frame(spark, queries), k=10, leaf_rows=16))
+    scores = v[::200].astype(float) @ v.astype(float).T
+    scores[np.arange(100), np.arange(0, 20_000, 200)] = -2
+    wanted = np.argsort(-scores, axis=1)[:, :10]
+    assert np.mean([len(set(got[i * 200]) & set(wanted[i].tolist())) / 10 for i in range(100)]) >= 0.9
