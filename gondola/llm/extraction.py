@@ -17,7 +17,8 @@ from gondola.llm.common import map_slices
 #: Elements whose contents are never text of the page.
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title|head"
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW.replace('|head', '')})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<(?:svg|math)(?=[\s/>])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"  # empty; else raw up to its end tag
+    rf"|<(?P<raw>{RAW.replace('|head', '')})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )

@@ -255,3 +255,9 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("between", ["<svg-icon></svg-icon>", "<select-box>b</select-box>", "<svg viewBox='0 0 1 1' class=\"a>b\"/>", "<math/>", "<svg><path d='x'/>no</svg>", "<svg title=\"a/>b\">no</svg>"])
+def test_pages_go_on_after_custom_and_empty_raw_elements(between):
+    texts = [b.text for b in extraction.blocks_of(f"<p>a</p>{between}<p>rest</p>")[0]]
+    assert texts[0] == "a" and texts[-1] == "rest" and "no" not in texts
