@@ -1,6 +1,7 @@
 """PII, quality, sharding, packing and SentencePiece against plain definitions."""
 
 import collections
+import os
 import re
 import zlib
 
@@ -219,8 +220,8 @@ def test_packed_pieces_are_the_tokenizers_ids(spark):
 
 
 @pytest.fixture(scope="module")
-def unigram():
-    """The library's own search over the same pieces. Two pieces of score -1e9 would cost its single-precision sums all
+def unigram(tmp_path_factory):
+    """The library's own search over the same pieces, and its model's file. Some pieces of score -1e9 would cost its single-precision sums all
     smaller differences, so they get a score that is merely the lowest."""
     sp = pytest.importorskip("sentencepiece")
     proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -229,7 +230,10 @@ def unigram():
     model.trainer_spec.model_type = 1
     for piece in model.pieces:
         piece.score = max(piece.score, -40000.0)
-    return sp.SentencePieceProcessor(model_proto=model.SerializeToString())
+    path = str(tmp_path_factory.mktemp("unigram") / "pieces.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return sp.SentencePieceProcessor(model_file=path), path
 
 
 def brute_best(pieces, text):
@@ -248,10 +252,12 @@ def brute_best(pieces, text):
 
 def test_search_equals_the_library_and_brute_force(unigram):
     texts = ["Hello  world é x", " a", "  ", "a" * 300, "漢字kana かな 12", "hest enestion herest", "the quick brown fox, jumped! 100%", "ﬁ Ａ😀"]
-    got = sentencepiece.encode_texts(PIECES, [t.encode() for t in texts])
+    library, path = unigram
+    got = sentencepiece.encode_texts(path, [t.encode() for t in texts])
     for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == unigram.encode(text)
-    pieces = sentencepiece.load_pieces(PIECES)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
+    pieces = sentencepiece.load_pieces(path)
+    assert not pieces.byte_pair
     score = dict(zip(pieces.ids.tolist(), pieces.scores.tolist(), strict=True))
     for word in ("▁herestingly", "▁thwhatble", "xx▁y"):
         chars = np.array([[ord(c) for c in word]], np.uint64)
@@ -259,6 +265,33 @@ def test_search_equals_the_library_and_brute_force(unigram):
             assert sum(score[i] for i in found[found >= 0].tolist()) == pytest.approx(brute_best(pieces, word))
 
 
+@pytest.fixture(scope="module")
+def library():
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=PIECES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("abcdeh  inrst\n▁.,'AÉé漢😀0", max_size=80)))
+def test_ids_are_the_models_own(library, text):
+    data = text.encode("utf-8", "replace")
+    assert np.frombuffer(sentencepiece.encode_texts(PIECES, [data])[0], "<u4").tolist() == library.encode(data.decode())
+
+
+def test_ids_of_documents_are_the_models_own(library):
+    texts = ["The quick brown fox", "international understanding of communication", *ODD[1:], " " * 50 + "a" + " " * 17, "herestingly " * 400, "na" * 3000, "\n\n  x\n"]
+    table = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.001/documents.parquet") if os.path.isdir("/root/testdata/sf0.001") else None
+    texts += [t for t in table.column("text").to_pylist() if t] if table else []
+    for text, ids in zip(texts, sentencepiece.encode_texts(PIECES, [t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
+
+
+def test_long_words_take_the_same_pieces(library):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("etaoinshr▁dlu漢é"), n)) for n in (49, 333, 5000)] + ["y" * 20_000]
+    for word, ids in zip(words, sentencepiece.encode_texts(PIECES, [w.encode() for w in words]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(word)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
