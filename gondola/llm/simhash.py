@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_batches, map_slices
@@ -80,56 +80,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def slice_planes(members: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints: [words, 64 planes], lane k of a word is member 64 * word + k."""
-    words = -(-len(members) // 64)
-    lanes = np.zeros(words * 64, np.uint64)
-    lanes[: len(members)] = members
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")
-    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64).reshape(words, BITS)
+    """Bit planes of fingerprints, one word or a row of words each: [words, planes], lane k of a word is member 64 * word + k."""
+    rows = members.reshape(len(members), -1)
+    words, bits = -(-len(rows) // 64), BITS * rows.shape[1]
+    lanes = np.zeros((words * 64, rows.shape[1]), np.uint64)
+    lanes[: len(rows)] = rows
+    unpacked = np.unpackbits(lanes.view(np.uint8).reshape(words, 64, bits // 8), axis=2, bitorder="little")
+    packed = np.packbits(unpacked.transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64).reshape(words, bits)
 
 
 def match_lanes(probes: np.ndarray, word_of: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
     """For each pair (probe fingerprint, word of planes), the lanes within ``radius`` differing bits.
 
-    Each plane's differences go into vertical counters of three bits by carry-save addition, with the overflow
-    kept, so that 64 distances advance together. Pairs of which every lane has passed the radius are abandoned.
+    Each plane's differences go into vertical counters by carry-save addition, with the overflow kept, so that 64
+    distances advance together. Pairs of which every lane has passed the radius are abandoned.
     """
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6: the counters have three bits")
+    bits = planes.shape[1]
+    if not 0 <= radius < bits:
+        raise ValueError("radius must be 0 or more, and less than the bits of a fingerprint")
     found = np.zeros(len(probes), np.uint64)
     alive = np.arange(len(probes))
-    p, w = probes, word_of
-    one, two, four, over = (np.zeros(len(probes), np.uint64) for _ in range(4))
-    for plane in range(BITS):
-        differs = planes[w, plane] ^ (np.uint64(0) - ((p >> np.uint64(plane)) & np.uint64(1)))
-        carry = one & differs
-        one ^= differs
-        carry, two = two & carry, two ^ carry
-        carry, four = four & carry, four ^ carry
+    p, w = probes.reshape(len(probes), -1), word_of
+    counters = [np.zeros(len(probes), np.uint64) for _ in range((radius + 1).bit_length())]
+    over = np.zeros(len(probes), np.uint64)
+    for plane in range(bits):
+        carry = planes[w, plane] ^ (np.uint64(0) - ((p[:, plane // BITS] >> np.uint64(plane % BITS)) & np.uint64(1)))
+        for i, counter in enumerate(counters):
+            counters[i], carry = counter ^ carry, counter & carry
         over |= carry
-        if plane % LOOK_EVERY == LOOK_EVERY - 1:
-            near = ~(over | beyond(one, two, four, radius))
-            if plane == BITS - 1:
+        if plane % LOOK_EVERY == LOOK_EVERY - 1 and plane >= radius:
+            near = ~(over | beyond(counters, radius))
+            if plane == bits - 1:
                 found[alive] = near
                 break
             keep = np.flatnonzero(near)
             if len(keep) < 0.8 * len(alive):
-                alive, p, w, one, two, four, over = (x[keep] for x in (alive, p, w, one, two, four, over))
+                alive, p, w, over = alive[keep], p[keep], w[keep], over[keep]
+                counters = [x[keep] for x in counters]
                 if not len(alive):
                     break
     return found
 
 
-def beyond(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter holds more than ``radius``."""
-    out = np.zeros_like(one)
-    for value in range(radius + 1, 8):
-        match = np.full_like(one, ~np.uint64(0))
-        for bit, plane in ((1, one), (2, two), (4, four)):
-            match &= plane if value & bit else ~plane
-        out |= match
-    return out
+def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter (bit planes, the lowest first) holds more than ``radius``."""
+    more, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ~np.uint64(0))
+    for bit in range(len(counters) - 1, -1, -1):
+        if radius >> bit & 1:
+            equal = equal & counters[bit]
+        else:
+            more |= equal & counters[bit]
+            equal = equal & ~counters[bit]
+    return more
 
 
 def set_lanes(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +160,14 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_small(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is near within each of many buckets of up to 64 members, one after another in fps."""
+def near_small(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect what is near within each of many buckets of up to 64 members, one after another in fps."""
     if not len(fps):
-        return fps, fps
+        return np.zeros(0, int), np.zeros(0, int)
+    fps = fps.reshape(len(fps), -1)
     starts = np.cumsum(sizes) - sizes
     bucket = np.repeat(np.arange(len(sizes)), sizes)
-    lanes = np.zeros(len(sizes) * 64, np.uint64)
+    lanes = np.zeros((len(sizes) * 64, fps.shape[1]), np.uint64)
     lanes[bucket * 64 + np.arange(len(fps)) - starts[bucket]] = fps
     planes = slice_planes(lanes)
     masks = np.concatenate([match_lanes(fps[i : i + LANES_AT_ONCE], bucket[i : i + LANES_AT_ONCE], planes, radius) for i in range(0, len(fps), LANES_AT_ONCE)])
@@ -171,19 +175,26 @@ def link_small(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndar
     masks &= (np.uint64(1) << place) - np.uint64(1)  # earlier lanes only, which also leaves padding out
     has = np.flatnonzero(masks)
     row, lane = set_lanes(masks[has])
-    a, b = has[row], starts[bucket[has[row]]] + lane
-    label = roots(len(fps), a, b)
+    label = roots(len(fps), has[row], starts[bucket[has[row]]] + lane)
     moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+    return moved, label[moved]
 
 
-def link_large(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is near within ``left``, or across ``left`` and ``right``; at most one for each member.
+def near_masks(rows: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+    """[rows, words]: the lanes of all planes that are near each row."""
+    words = len(planes)
+    return match_lanes(np.repeat(rows, words, axis=0), np.tile(np.arange(words), len(rows)), planes, radius).reshape(-1, words)
+
+
+def near_large(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect what is near within ``left``, or across ``left`` and ``right`` (which comes behind it);
+    at most one for each member.
 
     A search from one member at a time takes each reached lane out of the masks at once, so that a dense group
     costs a link per member, not per pair.
     """
     both = left if right is None else np.concatenate([left, right])
+    both = both.reshape(len(both), -1)
     n, planes = len(both), slice_planes(both)
     words = len(planes)
     rows = max(1, LANES_AT_ONCE // words)
@@ -193,12 +204,10 @@ def link_large(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     lefts, rights = packed(side), packed(np.arange(words * 64) < n)
     rights = rights if right is None else rights & ~lefts
     masks = np.empty((n, words), np.uint64)
-    every = np.arange(words)
     for at in range(0, n, rows):
         own = both[at : at + rows]
-        masks[at : at + rows] = match_lanes(np.repeat(own, words), np.tile(every, len(own)), planes, radius).reshape(-1, words)
         across = rights if right is None else np.where((np.arange(at, at + len(own)) < len(left))[:, None], rights, lefts)
-        masks[at : at + rows] &= across
+        masks[at : at + rows] = near_masks(own, planes, radius) & across
     waiting = packed(np.arange(words * 64) < n)
     a, b = [], []
     one = np.uint64(1)
@@ -215,8 +224,21 @@ def link_large(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
             a.append(front)
             b.append(np.full(len(front), start))
     if not a:
-        return both[:0], both[:0]
-    return both[np.concatenate(a)], both[np.concatenate(b)]
+        return np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def link_small(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """near_small, as fingerprints."""
+    a, b = near_small(fps, sizes, radius)
+    return fps[a], fps[b]
+
+
+def link_large(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """near_large, as fingerprints."""
+    a, b = near_large(left, right, radius)
+    both = left if right is None else np.concatenate([left, right])
+    return both[a], both[b]
 
 
 # -- candidates and components -----------------------------------------------------------------------------------
@@ -374,6 +396,14 @@ def near_duplicates(
 BANDS, BAND_ROWS = 20, 4
 #: Odd multipliers, each of which puts all 64-bit hashes into another order.
 ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of the wide SimHash of a set: 256 bits tell a similarity of 0.8 (39 to 48 bits differ) from one of 0.3 (89).
+WORDS = 4
+FP = [f"f{i}" for i in range(WORDS)]
+#: Shingles of the sets that one task compares with each other, about; larger components are dealt out in chunks.
+CHUNK_SHINGLES = 2_000_000
+#: Members of a large component that every chunk of it is compared with first.
+PIVOTS = 64
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -389,6 +419,16 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def wide_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[sets, WORDS]: the majority bits of the hashes, and of what a mixer makes of them, of sets one after another."""
+    out = np.empty((len(counts), WORDS), np.uint64)
+    for i in range(WORDS):
+        out[:, i] = majority(hashes, counts)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * MIXER
+        hashes = hashes ^ (hashes >> np.uint64(27))
+    return out
+
+
 def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """[sets, BANDS]: a hash of each band's minima, of sets (none empty) that stand one after another in hashes."""
     starts = np.cumsum(counts) - counts
@@ -396,13 +436,13 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for i, order in enumerate(ORDERS):
         band = keys[:, i // BAND_ROWS]
         low = np.minimum.reduceat(hashes * order, starts)
-        band[:] = (band ^ low) * np.uint64(0x9E3779B97F4A7C15)
+        band[:] = (band ^ low) * MIXER
         band ^= band >> np.uint64(29)
     return keys
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Of each row doc_id, text_key (a hash of the text), node (of its shingle set), fp (SimHash of that set), size and band keys."""
+    """Of each row doc_id, text_key (a hash of the text), node (of its shingle set), FP (SimHash of that set), size and band keys."""
 
     def make(rows: dict[str, list]) -> dict[str, object]:
         sets = shingle_sets(rows["text"], width)
@@ -412,27 +452,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
         keys = iter(band_keys(hashes, counts[own]).view(np.int64) if len(own) else ())
         node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
         bands = [next(keys) if c else [] for c in counts.tolist()]
-        return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "node": node.view(np.int64), "fp": majority(hashes, counts).view(np.int64), "size": counts, "bands": bands}
+        fps = wide_fingerprints(hashes, counts).view(np.int64)
+        made = {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "node": node.view(np.int64), "size": counts, "bands": bands}
+        return made | {f: np.ascontiguousarray(fps[:, i]) for i, f in enumerate(FP)}
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
-    return map_slices(thin, make, "doc_id long, text_key long, node long, fp long, size long, bands array<long>")
+    return map_slices(thin, make, f"doc_id long, text_key long, node long, size long, bands array<long>, {', '.join(f'{f} long' for f in FP)}")
+
+
+#: What tells rows apart but for repeated ones; unnamed: whether the id is null. Rows without an id come last.
+ROW_KEY = ["unnamed", "id", "text_key"]
+
+
+def row_key(id_col: str) -> tuple[Column, Column]:
+    named = F.col(f"`{id_col}`").cast("long")
+    return named.isNull().alias("unnamed"), F.coalesce(named, F.lit(0)).alias("id")
 
 
 def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def may_be_near(fp: np.ndarray, size: np.ndarray, one: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """[one, all]: whether the SimHash and the sizes of two sets allow a similarity of ``least``."""
-    near = np.bitwise_count(fp[one, None] ^ fp[None, :]) <= radius
-    small, large = np.minimum(size[one, None], size[None, :]), np.maximum(size[one, None], size[None, :])
-    return near & (small >= least * large)
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[list[pa.RecordBatch], bool]]:
+    """Runs of rows that agree in the first ``keys`` columns, of batches sorted by these, and whether a run is whole.
 
-
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of rows that agree in the first ``keys`` columns, of batches sorted by these."""
+    With ``most``, a run of more rows comes in parts, each but the first behind the run's first row, none of them whole.
+    """
     held: list[pa.RecordBatch] = []
-    last = None
+    last, rows, whole = None, 0, True
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -441,128 +488,200 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             key = tuple(c[start] for c in columns)
             if held and key != last:
-                yield held
-                held = []
+                yield held, whole
+                held, rows, whole = [], 0, True
+            elif most and rows > most:
+                yield held, False
+                held, rows, whole = [held[0].slice(0, 1)], 1, False
             held.append(batch.slice(start, end - start))
-            last = key
+            last, rows = key, rows + end - start
     if held:
-        yield held
+        yield held, whole
+
 
+def candidate_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect, within each bucket of a band, the sets whose wide SimHash is within the radius.
 
-def candidate_links(distinct: DataFrame, radius: int, least: float) -> DataFrame:
-    """Links (a, b) that connect, within each bucket of a band, the sets that may be near."""
+    Members of a bucket of over CHUNK are linked without a comparison; their component is told apart when it is
+    compared by the sets themselves.
+    """
     out = arrow_schema(distinct.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
+        small: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for group in sorted_groups(batches, 2):
+
+        def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+
+        def meet_small() -> pa.RecordBatch:
+            node, fps = np.concatenate([n for n, _ in small]), np.concatenate([f for _, f in small])
+            a, b = near_small(fps, np.array([len(n) for n, _ in small]), radius)
+            small.clear()
+            return links(node[a], node[b])
+
+        for group, whole in sorted_groups(batches, 2, CHUNK):
             n = sum(b.num_rows for b in group)
             if n < 2:
                 continue
-            node, fp, size = (np.concatenate([b.column(i).to_numpy() for b in group]) for i in (2, 3, 4))
-            fp, label = fp.view(np.uint64), np.arange(n)  # of a signed number, bitwise_count counts another's bits
-            step = max(1, LANES_AT_ONCE // n)
-            for at in range(0, n, step):
-                row, column = np.nonzero(may_be_near(fp, size, np.arange(at, min(at + step, n)), radius, least))
-                a, b = label[row + at], label[column]
-                apart = a != b
-                if apart.any():
-                    label = roots(n, a[apart], b[apart])[label]
-            moved = label != np.arange(n)
-            found.append(np.stack([node[moved], node[label[moved]]]))
-            waiting += int(moved.sum())
-            if waiting > LANES_AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], schema=out)
-                found, waiting = [], 0
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], schema=out)
-
-    keyed = distinct.select(F.posexplode("bands").alias("band", "value"), "node", "fp", "size")
-    dealt = keyed.repartition("band", "value").sortWithinPartitions("band", "value")
+            node = np.concatenate([b.column(2).to_numpy() for b in group])
+            if n > CHUNK or not whole:
+                yield links(node[1:], np.full(n - 1, node[0]))
+                continue
+            fps = np.stack([np.concatenate([b.column(3 + i).to_numpy() for b in group]).view(np.uint64) for i in range(WORDS)], axis=1)
+            if n > 64:
+                a, b = near_large(fps, None, radius)
+                yield links(node[a], node[b])
+                continue
+            small.append((node, fps))
+            waiting += n
+            if waiting >= 1 << 15:
+                yield meet_small()
+                waiting = 0
+        if small:
+            yield meet_small()
+
+    keyed = distinct.select(F.posexplode("bands").alias("band", "value"), "node", *FP)
+    dealt = keyed.repartition("band", "value").sortWithinPartitions("band", "value", "node")
     return map_batches(dealt, run, "a long, b long").distinct()
 
 
-def similar_groups(sets: list[np.ndarray], fp: np.ndarray, radius: int, least: float) -> np.ndarray:
+def similar_groups(sets: list[np.ndarray], fp: np.ndarray, radius: int, least: float, label: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
     """The first member that each set reaches over pairs whose exact Jaccard similarity is at least ``least``.
 
-    A set is compared with those that its group does not hold yet, the nearest by SimHash first, so copies of one
-    text cost a comparison each.
+    The bit-sliced comparison of the wide SimHash proposes pairs. A set is compared with those that its group does not
+    hold yet, so copies of one text cost a comparison each. ``label``: groups known before; ``left``: the members
+    of which one must be in every pair (all, if None).
     """
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    label = np.arange(n)
-    for i in range(1, n):
-        distance = np.bitwise_count(fp[:i] ^ fp[i])
-        open_ = np.flatnonzero((distance <= radius) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])))
-        for j in open_[np.argsort(distance[open_], kind="stable")]:
-            if label[i] == label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= least * (size[i] + size[j] - both) - 1e-9:
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    label = np.unique(label, return_index=True)[1][label]  # a group's first member
+    asking = np.arange(n) if left is None else np.flatnonzero(left)
+    planes = slice_planes(fp)
+    step = max(1, LANES_AT_ONCE // max(len(planes), 1))
+    for at in range(0, len(asking), step):
+        own = asking[at : at + step]
+        for i, mask in zip(own.tolist(), near_masks(fp[own], planes, radius), strict=True):
+            word, lane = set_lanes(mask)
+            open_ = word * 64 + lane
+            open_ = open_[open_ < (i if left is None else n)]
+            open_ = open_[(label[open_] != label[i]) & (np.minimum(size[open_], size[i]) >= least * np.maximum(size[open_], size[i]))]
+            if len(open_) > 1:
+                open_ = open_[np.argsort(np.bitwise_count(fp[open_] ^ fp[i]).sum(axis=1), kind="stable")]
+            while len(open_):
+                j, open_ = open_[0], open_[1:]
+                both = common(sets[i], sets[j])
+                if both >= least * (size[i] + size[j] - both) - 1e-9:
+                    low, high = sorted((label[i], label[j]))
+                    label[label == high] = low
+                    open_ = open_[label[open_] != label[i]]
     return label
 
 
-def verified_groups(docs: DataFrame, text_col: str, candidates: DataFrame, width: int, radius: int, least: float) -> DataFrame:
-    """node and group, a node of its group, of the candidates (node, text_key, label) with another node in their group."""
-    out = arrow_schema(docs.sparkSession, "node long, group long")
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
+
+
+def compared(rows: DataFrame, keys: list[str], width: int, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that connect what is similar within each group of rows (keys, node, known, asks, text).
+
+    known: a group that the node is known to be in; asks: whether the node is on the left of pairs.
+    """
+    out = arrow_schema(rows.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, 1):
-            node, sets, fps = [], [], []
+        for group, _ in sorted_groups(batches, len(keys)):
+            node, known, asks, sets, fps = [], [], [], [], []
             for batch in group:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    new = shingle_sets(part.column(2).to_pylist(), width)
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    node.append(part.column("node").to_numpy())
+                    known.append(part.column("known").to_numpy())
+                    asks.append(part.column("asks").to_numpy(zero_copy_only=False))
+                    new = shingle_sets(part.column("text").to_pylist(), width)
                     sets += new
-                    fps.append(majority(np.concatenate(new), np.array([len(x) for x in new], np.int64)))
-                    node.append(part.column(1).to_numpy())
-            node = np.concatenate(node)
-            label = similar_groups(sets, np.concatenate(fps), radius, least)
-            shared = np.bincount(label, minlength=len(label))[label] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(node[shared]), pa.array(node[label[shared]])], schema=out)
-
-    texts = docs.select(text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
-    met = texts.join(candidates, "text_key").dropDuplicates(["node"]).select("label", "node", "text")
-    return map_batches(met.repartition("label").sortWithinPartitions("label"), run, "node long, group long")
-
-
-def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, least: float) -> DataFrame:
-    """Each row's doc_id, text_key, node and component_id, the smallest id that is reachable over similar texts."""
-    rows = cut_lineage(sketches(docs, id_col, text_col, width))
-    distinct = cut_lineage(
-        rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), *[F.any_value(c).alias(c) for c in ("fp", "size", "bands")])
-    )
-    labels = components(candidate_links(distinct, radius, least))
-    candidates = labels.join(distinct.select("node", "text_key"), "node")
-    groups = cut_lineage(verified_groups(docs, text_col, candidates, width, radius, least))
-    reps = distinct.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("group", "node").alias("group"))
-    of_node = reps.join(reps.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("node", "group", "component_id")
-    # rows of one set are spread over salts
-    salts = of_node.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.select("doc_id", "text_key", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(salts, ["node", "salt"]).select("doc_id", "text_key", "node", "group", "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 22, least: float = 0.8) -> DataFrame:
-    """docs with one row of each component of near-duplicates: the one of the smallest id, all columns as they are.
+                    fps.append(wide_fingerprints(np.concatenate(new), np.array([len(x) for x in new], np.int64)))
+            node, known, asks = np.concatenate(node), np.concatenate(known), np.concatenate(asks)
+            label = similar_groups(sets, np.concatenate(fps), radius, least, known, None if asks.all() else asks)
+            moved = node[label] != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], schema=out)
 
-    Two texts are linked where the Jaccard similarity of their sets of ``width``-word shingles is ``least`` or more.
-    Equal sets are merged first; sets that share a band of minima, and whose SimHash differs in up to ``radius`` bits
-    (a similarity of 0.8 makes about 10), are candidates, and the exact similarity of their shingles decides. Texts without words
-    are one component. A component of candidates is compared in one task.
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "known", "asks", "text")
+    return map_batches(dealt, run, "a long, b long")
 
-    Of repeated rows (equal ids in a component's smallest) one stays. Rows with a null id stay only where their
-    component has no other; of those, one for each component. The texts are shuffled once, by id, and those of
-    candidates once more.
+
+def verified_links(members: DataFrame, texts: DataFrame, width: int, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that connect the similar sets of each component of candidates.
+
+    members: label, node, size and ROW_KEY; texts: ROW_KEY and text. A component of over CHUNK_SHINGLES is
+    dealt into chunks. Each chunk is compared within itself and with PIVOTS members that all of them meet; then those
+    that are not in the component's largest group so far are compared with all others, chunk by chunk. So a dense
+    group costs about as many comparisons as members, no pair of different groups is left out, and no task holds
+    more than two chunks.
+    """
+    weights = members.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = members.join(weights, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = cut_lineage(dealt.select("label", "node", "size", *ROW_KEY, "chunks", "chunk"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, ROW_KEY).dropDuplicates(ROW_KEY)  # a row that is repeated
+
+    large = dealt.filter("chunks > 1")
+    if large.isEmpty():
+        single = with_texts(dealt).select("label", "node", F.col("node").alias("known"), F.lit(True).alias("asks"), "text")
+        return compared(single, ["label"], width, radius, least)
+    whole = cut_lineage(with_texts(dealt))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("node"), "node"))
+    pivots = large.select("label", "node", place.alias("place")).filter(F.col("place") <= PIVOTS).select("label", "node")
+    pivots = whole.join(pivots, ["label", "node"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pivots = pivots.filter("other <> chunk").withColumn("chunk", F.col("other")).drop("other")
+    first = whole.unionByName(pivots).select("label", "chunk", "node", F.col("node").alias("known"), F.lit(True).alias("asks"), "text")
+    links = cut_lineage(compared(first, ["label", "chunk"], width, radius, least))
+
+    so_far = large.select("label", "node", "size").join(components(links).withColumnRenamed("label", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    most = so_far.groupBy("label", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max(F.struct("n", "known")).alias("most")).select("label", F.col("most.known").alias("most"))
+    state = so_far.join(most, "label").select("label", "node", "size", "known", (F.col("known") != F.col("most")).alias("rest"))
+    rest = state.filter("rest").groupBy("label").agg(F.ceil(F.sum("size") / F.lit(CHUNK_SHINGLES)).cast("int").alias("parts"))
+    state = cut_lineage(state.join(rest, "label").drop("size"))
+    if state.isEmpty():
+        return links
+    met = whole.join(state, ["label", "node"]).select("label", "node", "known", "rest", "chunk", "chunks", "parts", "text")
+    asks = met.filter("rest").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["label", "part", "chunk", "node", "known"]
+    second = asks.select(*columns, F.lit(True).alias("asks"), "text").unionByName(others.select(*columns, F.lit(False).alias("asks"), "text"))
+    return links.union(compared(second, ["label", "part", "chunk"], width, radius, least))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 76, least: float = 0.8) -> DataFrame:
+    """docs with one row of each component of near-duplicates, all columns as they are.
+
+    Two texts are linked where the Jaccard similarity of their sets of ``width``-word shingles is ``least`` or more.
+    Equal sets are merged first; sets that share a band of minima meet, and the bit-sliced comparison of their wide
+    SimHash (``radius`` of its 256 bits) proposes pairs, of which the exact similarity of their shingles decides.
+    Texts without words are one component.
+
+    The row that stays is that of the smallest id; a null id comes after all others. Of several rows with that id the one
+    whose text has the smallest hash stays, and of equal rows one (by a hash of the whole row), so the result does not
+    depend on partitions. The texts are shuffled once, by id, and those of candidates once more. An empty table gives
+    no rows; other columns may have any name.
     """
-    found = cut_lineage(similar_components(docs, id_col, text_col, width, radius, least))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    named = named.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    alone = found.filter("component_id is null").groupBy("group").agg(F.min("text_key").alias("_alone")).select("_alone")
-    unnamed = docs.filter(F.col(id_col).isNull()).withColumn("_key", text_key(text_col))
-    unnamed = unnamed.join(alone, F.col("_key") == F.col("_alone"), "left_semi").dropDuplicates(["_key"]).drop("_key")
-    return named.union(unnamed)
+    thin = cut_lineage(sketches(docs, id_col, text_col, width))
+    rep = F.min(F.struct(*row_key("doc_id"), "text_key"))
+    distinct = cut_lineage(thin.groupBy("node").agg(rep.alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "bands", *FP)]))
+    labels = components(candidate_links(distinct, radius))
+    members = labels.join(distinct.select("node", "size", "rep.*"), "node")
+    texts = docs.select(*row_key(id_col), text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
+    groups = components(verified_links(members, texts, width, radius, least))
+    chosen = distinct.select("node", "rep").join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("rep").alias("rep"))
+    # the columns of docs travel as one, so that no name can clash
+    kinds = dict(docs.dtypes)
+    hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col), text_key(text_col).alias("text_key"), F.xxhash64(*hashed).alias("turn"))
+    kept = packed.join(cut_lineage(chosen.select("rep.*")), ROW_KEY, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("turn"))
+    return kept.withColumn("first", first).filter("first = 1").select("row.*")

@@ -154,3 +154,73 @@ def test_edited_copies_are_found_by_five_word_similarity(spark):
     assert sum(0.8 <= x <= 0.95 for x in similarities) > 60 and sum(x < 0.8 for x in similarities) > 20
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == wanted
+
+
+def test_rows_are_kept_not_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    schema = "doc_id long, text string, _fp int, _kept string, _alone int, row int, id string, unnamed int, label int"
+    rows = [(1, a, 1, "x", 1, 1, "i", 0, 0), (5, a, 2, "y", 2, 2, "i", 0, 0), (5, b, 3, "z", 3, 3, "i", 0, 0), (None, b, 4, "w", 4, 4, "i", 0, 0), (None, b + " " + a, 5, "v", 5, 5, "i", 0, 0), (5, b, 3, "z", 3, 3, "i", 0, 0), (5, b, 6, "z", 3, 3, "i", 0, 0)]
+    outs = []
+    for parts in (1, 7):
+        got = simhash.deduplicate(spark.createDataFrame(rows, schema).repartition(parts))
+        assert got.columns == [c.split()[0] for c in schema.split(", ")]
+        outs.append(sorted(map(repr, got.collect())))
+    assert outs[0] == outs[1] and len(outs[0]) == 3
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("1", a), ("5", b), ("None", b + " " + a)])
+
+
+def edited_family(n, seed, words=120, edits=4):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.choice(words, rng.integers(0, edits), replace=False):
+            own[at] = f"e{rng.integers(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_large_components_are_compared_in_chunks(spark, monkeypatch, small):
+    """Families around a shared passage, so that all of them are candidates; the result equals an exact search."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{t} {passage}" for seed in range(6) for t in edited_family(25, seed, edits=9)]
+    texts += [" ".join(f"n{x}" for x in rng.integers(0, 10**6, 60)) + " " + passage for _ in range(60)]
+    if small:
+        monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 3000)
+        monkeypatch.setattr(simhash, "CHUNK", 16)
+        monkeypatch.setattr(simhash, "PIVOTS", 3)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
+def test_runs_come_in_parts():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"k": [1, 1, 1], "v": [0, 1, 2]}), pa.record_batch({"k": [1, 1, 2], "v": [3, 4, 5]})]
+    got = [([x for b in g for x in b.column("v").to_pylist()], whole) for g, whole in simhash.sorted_groups(iter(batches), 1, 2)]
+    assert got == [([0, 1, 2], False), ([0, 3, 4], False), ([5], True)]
+    assert [len(g) for g, whole in simhash.sorted_groups(iter(batches), 1) if whole] == [2, 1]
+
+
+@pytest.mark.parametrize("radius", [0, 4, 30, 76])
+def test_wide_bit_sliced_distances(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    members = np.array([base[i % 3] ^ np.packbits(rng.random(256) < 0.15 * (i % 4), bitorder="little").view(np.uint64) for i in range(100)])
+    planes = simhash.slice_planes(members)
+    got = simhash.near_masks(members, planes, radius)
+    distance = np.bitwise_count(members[:, None] ^ members[None]).sum(axis=2)
+    for i in range(100):
+        word, lane = simhash.set_lanes(got[i])
+        lanes = word * 64 + lane
+        assert set(lanes[lanes < 100].tolist()) == set(np.flatnonzero(distance[i] <= radius).tolist())
