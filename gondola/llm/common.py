@@ -7,15 +7,17 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gondola.sources.files import cut_lineage  # noqa: F401  the operators take it from here
 
-#: Rows taken from an Arrow batch at a time, so that Python objects of few long texts live at once.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, taken from an Arrow batch at a time, so that Python objects of few long texts live at once.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 21
 
 #: Applications whose executors have been sent this package.
 SHIPPED: set[str] = set()
@@ -45,6 +47,21 @@ def as_bytes(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and SLICE_BYTES of text, or of one row that is longer."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))), batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_slices(df: DataFrame, make: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
     """Map df by ``make``, which turns the columns of a few rows (Python lists) into the columns of schema.
 
@@ -55,8 +72,7 @@ def map_slices(df: DataFrame, make: Callable[[dict[str, list]], dict[str, object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch):
                 made = make({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
@@ -69,8 +85,7 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch):
                 yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
 
     return map_batches(df, run, df.schema)

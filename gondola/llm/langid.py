@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ from gondola.llm.common import as_bytes, hash_share, keep_rows, map_slices, memo
 ORDER = 5
 UNKNOWN = "und"
 START, END = 1, 2
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What training splits texts by, too: number signs such as \u00bd or \u2167 are no letters.
+LETTERS = regex.compile(r"\p{L}+")
 #: Characters that an unseen one is one of.
 ALPHABET = 4096
 #: Bits a character by which short texts may take more: this over the root of their characters, as the mean of few
@@ -143,7 +144,7 @@ def merged(parts: list, languages: int, missing: float) -> tuple[np.ndarray, np.
 def calibrate(models: LanguageModels, rows: list[tuple[str, list[float]]], deviations: float, slack: float = 1.5) -> None:
     """Set the sharpness of scores and the most bits a character that a language's text may take: ``deviations`` above
     the mean of its texts, and ``slack`` times that mean at least, so that texts with names, numbers or a foreign
-    passage pass.
+    passage pass. A language of which no such text is at hand rejects nothing.
 
     rows: (true language, bits a character in each language) of texts that the models have not seen.
     """
@@ -162,7 +163,7 @@ def calibrate(models: LanguageModels, rows: list[tuple[str, list[float]]], devia
     for i in range(len(models.languages)):
         own = bits[truth == i, i]
         own = own[np.argmin(bits[truth == i], axis=1) == i]
-        if len(own) >= 10:
+        if len(own):
             models.most_bits[i] = max(own.mean() + deviations * own.std(), slack * own.mean())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_batches, map_slices, memo, numbered
 
 END_ID = 2
+#: Share of all tokens that rounding lengths up to classes may add before classes are made finer.
+MOST_ROUNDING = 0.03
 
 
 # -- the cutting-stock problem ------------------------------------------------------------------------------------
@@ -71,9 +74,19 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_rou
             inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, np.einsum("ij,jk->ik", patterns.astype(float), inverse))
         used = np.maximum(times(inverse, demand), 0)
         least, since = (used.sum(), 0) if used.sum() < least - 1e-9 else (least, since + 1)
+    else:
+        logging.getLogger(__name__).warning("column generation was ended after %d rounds; it may use more bins than needed", most_rounds)
     return patterns.T, used
 
 
+def grain_for(lengths: dict[int, int], coarsest: int) -> int:
+    """The coarsest class width, of ``coarsest`` halved over and over, at which rounding adds MOST_ROUNDING at most, or 1."""
+    total, grain = sum(s * n for s, n in lengths.items()), coarsest
+    while grain > 1 and sum((-s % grain) * n for s, n in lengths.items()) > MOST_ROUNDING * total:
+        grain //= 2
+    return grain
+
+
 def plan_bins(counts: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """(size: pieces in a bin, bins) so that ``counts`` pieces of each size are all placed, with few bins.
 
@@ -193,18 +206,23 @@ def pack(
     """Pack all documents' token ids into sequences of at most seq_len with little padding.
 
     Ids are those of the vocabulary file ``tokenizer`` (of the tokenizers library) without special tokens, and
-    then end_id. A document longer than seq_len is cut into full pieces and a rest. The lengths' histogram, in
-    classes of ``grain`` tokens (seq_len / grain rows whatever the input), is all that the driver sees: it solves
-    the cutting-stock problem over it, and pieces, ranked within their class, are dealt to the patterns' places.
+    then end_id. A document longer than seq_len is cut into full pieces and a rest. The lengths' histogram (seq_len
+    rows at most, whatever the input) is all that the driver sees: it solves the cutting-stock problem over classes of
+    ``grain`` tokens, or of fewer where texts are so short that rounding would waste room (see grain_for), and pieces,
+    ranked within their class, are dealt to the patterns' places.
 
     Returns one row per piece: doc_id, start, length, ids_crc32 (of the piece's little-endian 32-bit ids),
     doc_tokens, sequence_id, offset, and with_ids also ids. A null text counts as empty: such a document is the
     id end_id alone. Null ids and repeated rows are kept, each packed by itself; an empty table gives no rows.
     Columns besides the two are not read.
     """
-    room = seq_len // grain
-    pieces = cut_lineage(token_pieces(docs, tokenizer, id_col, text_col, seq_len, end_id, with_ids).withColumn("_class", F.ceil(F.col("length") / grain).cast("int")))
-    counts = {r[0]: r[1] for r in pieces.groupBy("_class").count().collect()}
+    pieces = cut_lineage(token_pieces(docs, tokenizer, id_col, text_col, seq_len, end_id, with_ids))
+    lengths = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    grain = grain_for(lengths, grain)
+    room, counts = seq_len // grain, dict[int, int]()
+    for length, n in lengths.items():
+        counts[-(-length // grain)] = counts.get(-(-length // grain), 0) + n
+    pieces = pieces.withColumn("_class", F.ceil(F.col("length") / grain).cast("int"))
 
     # places of a class, in order of rank: bins from `first`, `each` in every one, from rank `rank`
     places: dict[int, list[tuple[int, int, int]]] = {}

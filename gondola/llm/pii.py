@@ -19,7 +19,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+#: The longest run that may hold an account number, at each place where one may begin.
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+))")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Words that make a kind likelier when they stand near a span.
@@ -79,14 +81,18 @@ def find_spans(text: str, threshold: float) -> list[tuple[str, int, int, float]]
                 found.append(("card" if len(digits) >= 16 else "short_card", m.start(), m.end()))
     if "+" in text:
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+    taken = 0
     for m in IBAN.finditer(text):
-        groups = m[0]
-        while groups:  # words in capitals that follow may have been taken too
-            compact = groups.replace(" ", "")
-            if 15 <= len(compact) <= 34 and mod97(compact):
-                found.append(("iban", m.start(), m.start() + len(groups)))
-                break
-            groups = groups.rpartition(" ")[0]
+        start, run = m.start(), m[1]
+        if start < taken:
+            continue
+        for end in range(len(run), 14, -1):  # words in capitals that follow may have been taken too
+            if run[end - 1] != " " and text[start + end : start + end + 1] not in ALNUM:
+                compact = run[:end].replace(" ", "")
+                if len(compact) >= 15 and mod97(compact):
+                    taken = start + end
+                    found.append(("iban", start, taken))
+                    break
     if "-" in text:
         found += [("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text)]
     out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -38,7 +38,33 @@ def minimax_cuts(sizes: list[int], parts: int) -> list[int]:
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if fill(middle) is not None else (middle + 1, high)
-    return fill(low)
+    return level(ends, parts, low)
+
+
+def level(ends: list[int], parts: int, capacity: int) -> list[int]:
+    """Starts of runs of at most ``capacity`` whose sums are near equal; ends: running sums of the sizes.
+
+    Each run ends as near to an even share of what is left as the capacity allows, here and for the runs behind it.
+    """
+    n, needed = len(ends), [len(ends)]  # needed[k]: where the last k runs can begin at the earliest
+    while needed[-1] > 0 and len(needed) <= parts:
+        needed.append(bisect_left(ends, ends[needed[-1] - 1] - capacity))
+        if ends[needed[-1] - 1 if needed[-1] else 0] < ends[needed[-2] - 1] - capacity and needed[-1] < needed[-2]:
+            needed[-1] += 1
+    starts, at, taken = [], 0, 0
+    for left in range(parts, 0, -1):
+        if at >= n:
+            break
+        starts.append(at)
+        most = bisect_right(ends, taken + capacity, lo=at)
+        least = max(at + 1, needed[left - 1] if left - 1 < len(needed) else 0)
+        share = taken + (ends[-1] - taken) / left
+        end = bisect_left(ends, share, lo=at) + 1
+        if end - 1 > at and share - ends[end - 2] < ends[min(end, n) - 1] - share:
+            end -= 1
+        at = min(max(end, least), most)
+        taken = ends[at - 1]
+    return starts
 
 
 def plan_shards(cells: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -62,11 +88,11 @@ def plan_shards(cells: list[tuple[int, int]], shards: int) -> tuple[dict[int, in
 
 
 def shard_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, cells: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, cells: int | None = None
 ) -> DataFrame:
     """Each document's shard, so that shards hold nearly equal bytes and equal texts stay together.
 
-    Documents are hashed by text into ``cells`` ordered cells; a cell is an atomic group, as all copies of a text
+    Documents are hashed by text into ``cells`` ordered cells (131,072, or 2,048 for each shard if that is more); a cell is an atomic group, as all copies of a text
     are in one. The cells' sizes, at most ``cells`` rows whatever the input, are all that the driver sees: it
     cuts their sequence by ``minimax_cuts``. A cell beyond an even share (a text whose copies fill more) gets a
     shard of its own.
@@ -78,6 +104,7 @@ def shard_documents(
     table gives no rows. Other columns are not read, so their names cannot clash.
     """
     body = F.col(text_col).cast("string")
+    cells = cells or max(1 << 17, 2048 * shards)
     thin = cut_lineage(
         docs.select(
             F.col(id_col).alias("doc_id"),

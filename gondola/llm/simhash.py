@@ -543,7 +543,12 @@ def candidate_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     keyed = distinct.select(F.posexplode("bands").alias("band", "value"), "node", *FP)
     dealt = keyed.repartition("band", "value").sortWithinPartitions("band", "value", "node")
-    return map_batches(dealt, run, "a long, b long").distinct()
+    links = map_batches(dealt, run, "a long, b long").distinct()
+    # a set is linked with the smallest of its buckets, which may be another in each band: it keeps the smallest of
+    # these, which takes over the links to the others, and many sets share them
+    low = F.min("b").over(Window.partitionBy("a"))
+    pairs = F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
+    return links.withColumn("low", low).select(pairs.alias("pair")).select("pair.*").filter("a <> b").distinct()
 
 
 def similar_groups(sets: list[np.ndarray], fp: np.ndarray, radius: int, least: float, label: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:

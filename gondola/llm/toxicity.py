@@ -98,17 +98,17 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     most_docs: int = 16_000,
-    most_terms: int = 4096,
     least_docs: int = 3,
     least_z: float = 4.0,
 ) -> FactorizationMachine:
     """Fit on the texts of ``docs`` that ``labels`` (id_col and label_col, 0 or 1) marks.
 
     About ``most_docs`` labelled ids are read, chosen by a hash of the id, which also bounds what is broadcast; an id
-    with both labels counts as 1. Copies are dropped, and texts that share the least or the greatest of their shingle
-    hashes, so that a passage copied many times does not pass for a sign of its label. The terms that count are the
-    ``most_terms`` that tell most about the label, of those in ``least_docs`` texts at least. Null ids, labels and
-    texts teach nothing; without any rows the model gives every text the same score, below 0.5.
+    with both labels counts as 1. Of copies, and of texts that share the least or the greatest of their shingle
+    hashes, the one of the smallest id counts, so that a passage copied many times does not pass for a sign of its label.
+    The terms that count are those in ``least_docs`` texts at least that differ by ``least_z`` deviations from what the
+    labels' share lets expect. The model does not depend on partitions. Null ids, labels and texts teach nothing;
+    without any rows the model gives every text the same score, below 0.5.
     """
     marks = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen_marks = marks.filter(hash_share(marks.count(), most_docs, "id"))
@@ -122,9 +122,14 @@ def fit(
             shingles = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))]
             least.append(min(shingles) >> 1)
             other.append(max(shingles) >> 1)
-        return {"label": part["label"], "terms": sets, "least": least, "other": other}
-
-    texts = cut_lineage(map_slices(sample, make, "label int, terms array<int>, least long, other long").dropDuplicates(["least", "label"]).dropDuplicates(["other", "label"]))
+        return {"id": part["id"], "label": part["label"], "terms": sets, "least": least, "other": other}
+
+    found = map_slices(sample, make, "id string, label int, terms array<int>, least long, other long")
+    for key, rest in (("least", "other"), ("other", "least")):
+        # two steps, so that a hot passage is cut down before its rows meet
+        first = F.min(F.struct("id", rest, "terms")).alias("first")
+        found = found.groupBy(key, "label").agg(first).select(key, "label", "first.*")
+    texts = cut_lineage(found)
     n, positive = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return FactorizationMachine(np.zeros(0, np.int64), -4.0, np.zeros(0), np.zeros((0, 1)))
@@ -132,7 +137,7 @@ def fit(
     expected = F.col("docs") * share
     z = (F.col("hits") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
     stats = texts.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("hits"))
-    chosen = stats.filter(F.col("docs") >= least_docs).withColumn("z", F.abs(z)).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most_terms)
+    chosen = stats.filter(F.col("docs") >= least_docs).withColumn("z", F.abs(z)).filter(F.col("z") >= least_z)
     terms = np.array(sorted(r["term"] for r in chosen.collect()), np.int64)
 
     def keep(part: dict[str, list]) -> dict[str, object]:

@@ -176,7 +176,7 @@ def test_best_run_equals_brute_force():
 
 
 def test_labelled_pages_are_extracted():
-    weights = extraction.learn(extraction.labelled_pages(160, seed=1))
+    weights = extraction.learn(extraction.labelled_pages(seed=1))
     right = total = 0
     for page, article in extraction.labelled_pages(120, seed=2):
         got = set(extraction.main_text(page, weights).split("\n"))
@@ -261,3 +261,87 @@ def test_pipeline_of_nothing(spark, tmp_path):
 def test_pages_go_on_after_custom_and_empty_raw_elements(between):
     texts = [b.text for b in extraction.blocks_of(f"<p>a</p>{between}<p>rest</p>")[0]]
     assert texts[0] == "a" and texts[-1] == "rest" and "no" not in texts
+
+
+BODY = "<p>one two three four five six seven</p><p>eight nine ten eleven twelve thirteen</p>"
+WANTED = "one two three four five six seven\neight nine ten eleven twelve thirteen"
+LAYOUTS = {
+    f'<article><h1>t u v</h1>{BODY}<div class="advert no-print">buy it now</div><p>more text here</p></article>': f"t u v\n{WANTED}\nmore text here",
+    f'<article><h1>t u v</h1>{BODY}<p class="ad">buy it now</p><p>more text here</p></article>': f"t u v\n{WANTED}\nmore text here",
+    f'<nav><a href=/>x</a></nav><div class="article-header"><h1>Head line here</h1></div><div class="article-body">{BODY}</div><footer>f</footer>': f"Head line here\n{WANTED}",
+    f'<div class="social-history-post">{BODY}</div>': WANTED,
+    f'<nav>m n</nav><div class="social-history-post"><h1>Big title</h1>{BODY}</div><footer>x y z</footer>': f"Big title\n{WANTED}",
+    f"<div><h1>t u v</h1>{BODY}</div><div>Copyright 2020 all rights reserved</div>": f"t u v\n{WANTED}",
+    f'<div class="content-sidebar-wrap"><article><h1>a b</h1>{BODY}</article><div id="sidebar">p q r</div></div>': f"a b\n{WANTED}",
+    f'<table><tr><td class="menu"><a href=/a>a b</a></td><td><h1>t u</h1>{BODY}</td></tr></table><div id="footer">foot words</div>': f"t u\n{WANTED}",
+    f'<div id="main"><h1>t u</h1>{BODY}</div><div id="comments"><h2>Comments</h2>' + "<div class=comment><p>I think this is a very good text</p></div>" * 20 + "</div>": f"t u\n{WANTED}",
+    f"<center><font><h1>t u</h1>{BODY}</font></center><hr><a href=/>back</a>": f"t u\n{WANTED}",
+    f"<article>{BODY}<p>All rights reserved.</p></article>": f"{WANTED}\nAll rights reserved.",
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts_that_no_labelled_page_has(page):
+    assert extraction.main_text(page, extraction.default_weights()) == LAYOUTS[page]
+
+
+def test_extraction_equals_brute_force():
+    weights = extraction.default_weights()
+    for page, _ in extraction.labelled_pages(25, seed=9):
+        blocks, seen = extraction.blocks_of(page)
+        each = [weights.each(b, seen) for b in blocks]
+        score = [0 if e < 0 and b.landmark else max(-20, e * b.words) + sum(weights.tags.get(t, weights.other_tag) for t in b.tags) for b, e in zip(blocks, each, strict=True)]
+        _, _, start, end = max((sum(score[i:j]), -i, i, j) for i in range(len(blocks) + 1) for j in range(i, len(blocks) + 1))
+        wanted = [b.text for b, e in zip(blocks[start:end], each[start:end], strict=True) if e >= 0]
+        assert extraction.main_text(page, weights) == "\n".join(wanted)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "</p>", "<svg>", "<!--", "<p>a<b>", "<div class='ad x'>y", "<ul><li>x", '<a ">" ', "<", "<h1>a<main>"])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    weights, took = extraction.default_weights(), []
+    for size in (100_000, 400_000):
+        start = time.perf_counter()
+        extraction.main_text(part * (size // len(part)) + "</p>", weights)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 0.5 + 10 * took[0]
+
+
+def test_number_signs_are_no_letters(spark):
+    rng = random.Random(7)
+    models = langid.fit(documents(spark, [(i, text_of(lang, rng), lang) for i, lang in enumerate(["aa", "bb"] * 20)]))
+    got = langid.predict(documents(spark, [(1, "\u00bd \u00b2 \u2167", None), (2, "\u2460 ba la", None)]), models).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in got) == [(1, "und"), (2, "aa")]
+
+
+def test_toxicity_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    rows, labels = toxic_rows(rng, 200)
+    rows += [(5000 + i, rows[i % 40][1] + (" vile" if i % 2 else ""), None) for i in range(120)]
+    labels += [(5000 + i, 1, i % 2) for i in range(120)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    models = [toxicity.fit(documents(spark, rows).repartition(n), marks.repartition(n)) for n in (1, 7)]
+    assert models[0].name == models[1].name
+
+
+def test_very_long_texts_and_pages(spark):
+    page = "<article>" + "<p>word word</p>" * 70_000 + "</article>"
+    got = extraction.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert got[0]["n_chars"] == 10 * 70_000 - 1
+    rng = random.Random(3)
+    rows, labels = toxic_rows(rng, 60)
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long = documents(spark, [(i, "plain words " * 90_000, None) for i in range(12)])
+    assert [r["predicted"] for r in toxicity.score(long, model).collect()] == [0] * 12
+
+
+def test_slices_hold_few_bytes():
+    import pyarrow as pa
+
+    from gondola.llm import common
+
+    batch = pa.record_batch({"id": list(range(300)), "text": ["x" * 1_000_000] * 5 + ["y"] * 294 + [None]})
+    sizes = [part.num_rows for part in common.slices(batch)]
+    assert sum(sizes) == 300 and sizes[:3] == [2, 2, 256] and max(sizes) <= common.SLICE_ROWS
+    assert list(common.slices(batch.slice(0, 0))) == []

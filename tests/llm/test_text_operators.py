@@ -62,6 +62,16 @@ def test_long_runs_are_linear():
         pii.find_spans(run, 0.6)
 
 
+def test_account_numbers_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert pii.find_spans(("AB12 " * 20 + "A" * 40 + " ") * 20_000, 0.6) == []
+    assert time.perf_counter() - start < 20  # 2.8 MB; each place is read on for 64 characters at most
+    kinds = lambda t: [s[:3] for s in pii.find_spans(t, 0.6)]
+    assert kinds("AB12 CD34 GB82WEST12345698765432.") == [("iban", 10, 32)] and kinds("GB82WEST12345698765432x") == []
+
+
 def test_pii_frames(spark):
     texts = [*ODD, "mail a@b.cd or +1 (017) 555-7713", "mail a@b.cd or +1 (017) 555-7713"]
     got = pii.find_pii(documents(spark, texts, [None, *range(1, len(texts))])).collect()
@@ -138,6 +148,19 @@ def test_cuts_are_minimax(sizes, parts):
     assert max(sum(sizes[a:b]) for a, b in zip(starts, ends, strict=True)) == least_capacity(sizes, parts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40), st.integers(1, 8))
+def test_level_cuts_use_the_parts_there_are(sizes, parts):
+    starts = sharding.minimax_cuts(sizes, parts)
+    assert len(starts) == min(parts, len(sizes)) or max(sizes) >= sum(sizes) / parts
+
+
+def test_the_last_run_is_not_left_small():
+    starts = sharding.minimax_cuts([7] * 1000 + [9] * 500, 40)
+    sums = [sum(([7] * 1000 + [9] * 500)[a:b]) for a, b in zip(starts, [*starts[1:], 1500], strict=True)]
+    assert len(sums) == 40 and max(sums) - min(sums) <= 9
+
+
 def test_shards(spark):
     texts = [*ODD, *(f"text {i} " * (i % 7) for i in range(400)), *["hot " * 30] * 200]
     got = sharding.shard_documents(documents(spark, texts, [None, *range(1, len(texts))]), shards=6).collect()
@@ -187,6 +210,12 @@ def test_column_generation_beats_first_fit():
     assert -(-sum(s * n for s, n in counts.items()) // 32) <= bins <= len(fit)
 
 
+def test_short_texts_are_packed_finely(spark):
+    assert packing.grain_for({20: 1000, 3: 500}, 16) == 4 and packing.grain_for({3: 1}, 16) == 1 and packing.grain_for({800: 100}, 16) == 16 and packing.grain_for({}, 16) == 16
+    got = packing.pack(documents(spark, [f"word{i} a" for i in range(900)]), BPE, seq_len=512).collect()
+    assert sum(r["length"] for r in got) > 0.95 * 512 * (1 + max(r["sequence_id"] for r in got)) - 512
+
+
 def test_packed_pieces_are_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
