@@ -65,9 +65,15 @@ def test_long_runs_are_linear():
 def test_account_numbers_take_linear_time():
     import time
 
+    took = []
+    for times in (500, 2000):
+        start = time.perf_counter()
+        assert pii.find_spans(("AB12 " * 20 + "A" * 40 + " ") * times, 0.6) == []
+        took.append(time.perf_counter() - start)
+    assert took[1] < 0.5 + 8 * took[0]
     start = time.perf_counter()
-    assert pii.find_spans(("AB12 " * 20 + "A" * 40 + " ") * 20_000, 0.6) == []
-    assert time.perf_counter() - start < 20  # 2.8 MB; each place is read on for 64 characters at most
+    assert pii.find_spans(("AB12" + "A" * 40 + " ") * 20_000, 0.6) == []
+    assert time.perf_counter() - start < 10
     kinds = lambda t: [s[:3] for s in pii.find_spans(t, 0.6)]
     assert kinds("AB12 CD34 GB82WEST12345698765432.") == [("iban", 10, 32)] and kinds("GB82WEST12345698765432x") == []
 
