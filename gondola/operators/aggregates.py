@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import log1p, ratio
@@ -30,6 +30,55 @@ def finish(table: DataFrame, keys: Iterable[str], mean: str = "mean", count: str
     return table.select(*keys, ratio(F.col("sum"), F.col("known")).alias(mean), *([F.col("count").alias(count)] if count else []))
 
 
+#: Rows of a table that is broadcast, at most.
+MOST_BROADCAST = 1_000_000
+
+
+def key_counts(grain: DataFrame) -> dict[str, int]:
+    """How many values each key column of a grain has: bounds on the rows of all tables rolled up from it, from one job."""
+    keys = [c for c in grain.columns if c in (*GRAIN, "fold", "lookback")]
+    made = grain.agg(*[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in keys]).first()
+    return {c: max(made[c], 1) for c in keys}
+
+
+def bounded(table: DataFrame, keys: Iterable[str], counts: dict[str, int]) -> DataFrame:
+    """table, to be broadcast if its keys cannot have more than MOST_BROADCAST combinations."""
+    rows = 1
+    for k in keys:
+        rows *= counts.get(k, MOST_BROADCAST + 1)
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
+
+
+PAIR = ("store_nbr", "item_nbr")
+
+
+def lookup(rows: DataFrame, tables: list[tuple[tuple[str, ...], DataFrame]], counts: dict[str, int], *by: str) -> DataFrame:
+    """rows with the value columns of tables (keys, keys and values), null where a table has no match.
+
+    All tables by store and item become one row a pair, with a map for each that has more keys, so the rows are shuffled
+    once for all of them; tables by dimensions only are broadcast (see bounded).
+    """
+    pairs = [(keys, t) for keys, t in tables if {*PAIR} <= {*keys}]
+    out, unpack = rows, {}
+    if pairs:
+        wide, own = None, [*by, *PAIR]
+        for i, (keys, table) in enumerate(pairs):
+            rest, values = [k for k in keys if k not in own], [c for c in table.columns if c not in keys]
+            if rest:
+                entry = F.struct(F.struct(*rest).alias("key"), F.struct(*values).alias("value"))
+                table = table.groupBy(*own).agg(F.map_from_entries(F.collect_list(entry)).alias(f"_p{i}"))  # a pair's weekdays and promotions
+                asked = F.struct(*[F.col(k).cast(dict(pairs[i][1].dtypes)[k]).alias(k) for k in rest])
+                whole: Column = F.when(F.concat(*[F.col(k).cast("string") for k in rest]).isNotNull(), F.try_element_at(f"_p{i}", asked))
+                unpack |= {v: whole[v] for v in values}
+            wide = table if wide is None else wide.join(table, own, "full")
+        out = out.join(bounded(wide, own, counts), own, "left")
+        out = out.withColumns(unpack).drop(*[f"_p{i}" for i in range(len(pairs))]) if unpack else out
+    for keys, table in tables:
+        if not {*PAIR} <= {*keys}:
+            out = out.join(bounded(table, keys, counts), list(keys), "left")
+    return out
+
+
 #: The finest grain: family and class are functions of the item.
 GRAIN = ["store_nbr", "item_nbr", "family_code", "class", "weekday", "onpromotion"]
 
@@ -94,19 +143,13 @@ STATS = (
 )
 
 
-def attach(rows: DataFrame, tables: Iterable[tuple[tuple[str, ...], DataFrame]]) -> DataFrame:
-    for keys, table in tables:
-        rows = rows.join(table, list(keys), "left")
-    return rows
-
-
-def with_stats(rows: DataFrame, recent: list, prior: dict, fill_from: DataFrame | None = None, fills: tuple[str, ...] = ()) -> DataFrame:
+def with_stats(rows: DataFrame, recent: list, prior: dict, counts: dict[str, int], fill_from: DataFrame | None = None, fills: tuple[str, ...] = ()) -> DataFrame:
     """rows with the recent and prior statistics, 0 where there are none.
 
     The columns ``fills`` are filled with their exact medians over ``fill_from``, or 0 if that has none. The oil price
     needs no median: a dense series has a price on every day, or on none, and then it is 0.
     """
-    out = attach(rows, [*recent, *prior.items()]).fillna(0.0, [*STATS, "dcoilwtico"])
+    out = lookup(rows, [*recent, *prior.items()], counts).fillna(0.0, [*STATS, "dcoilwtico"])
     if not fills:
         return out
     medians = fill_from.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_{c}") for c in fills])

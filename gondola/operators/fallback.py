@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import clip0
-from gondola.operators.aggregates import GRAIN, roll_up, sums
+from gondola.operators.aggregates import GRAIN, key_counts, lookup, roll_up, sums
+from gondola.sources.files import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -44,28 +45,29 @@ GLOBAL = "global_mean"
 
 
 def grain_of(fit: DataFrame, *by: str) -> DataFrame:
-    """The one aggregate from which all levels are rolled up; ``by``: more keys, such as the fold."""
-    return sums(fit, [*by, *GRAIN])
+    """The one aggregate, computed once, from which all levels are rolled up; ``by``: more keys, such as the fold."""
+    return cut_lineage(sums(fit, [*by, *GRAIN]))
 
 
 def lookup_tables(grain: DataFrame, levels: tuple[Level, ...], *by: str) -> list[tuple[Level, DataFrame]]:
     return [(level, roll_up(grain, [*by, *level.keys])) for level in levels]
 
 
-def cascade(rows: DataFrame, tables: list[tuple[Level, DataFrame]], overall: DataFrame, prediction: str, source: str, *by: str) -> DataFrame:
+def cascade(rows: DataFrame, tables: list[tuple[Level, DataFrame]], overall: DataFrame, counts: dict[str, int], prediction: str, source: str, *by: str) -> DataFrame:
     """rows with the mean of the first level that has enough rows, at least 0, and that level's name.
 
-    Every level is one equi-join against a small table, and one coalesce picks; ``overall`` (sum and count, one row
-    for each value of ``by``) serves where no level does.
+    The levels are looked up together (see lookup; counts: of the keys' values), and one coalesce picks; ``overall``
+    (sum and count, one row for each value of ``by``) serves where no level does.
     """
-    out, means, names = rows, [], []
+    found, means, names = [], [], []
     for i, (level, table) in enumerate(tables):
         right = table.select(*by, *level.keys, F.when((F.col("count") >= level.least) & (F.col("known") > 0), F.col("sum") / F.col("known")).alias(f"_m{i}"))
-        out = out.join(right, [*by, *level.keys], "left")
+        found.append(((*by, *level.keys), right))
         means.append(F.col(f"_m{i}"))
         names.append(F.when(F.col(f"_m{i}").isNotNull(), F.lit(level.source)))
+    out = lookup(rows, found, counts, *by)
     mean = overall.select(*by, (F.col("sum") / F.when(F.col("count") > 0, F.col("count"))).alias("_all"))
-    out = out.join(mean, list(by), "left") if by else out.crossJoin(F.broadcast(mean))  # one row
+    out = out.join(F.broadcast(mean), list(by), "left") if by else out.crossJoin(F.broadcast(mean))  # one row
     return out.withColumns({prediction: clip0(F.coalesce(*means, "_all")), source: F.coalesce(*names, F.lit(GLOBAL))}).drop("_all", *[f"_m{i}" for i in range(len(tables))])
 
 
@@ -77,4 +79,4 @@ def overall_of(table: DataFrame, count: str = "count", *by: str) -> DataFrame:
 def fallback(rows: DataFrame, grain: DataFrame, *by: str) -> DataFrame:
     """rows (weekday, onpromotion, family_code, class) with fallback_prediction and fallback_source, from a grain of the
     fit rows (see grain_of)."""
-    return cascade(rows, lookup_tables(grain, FALLBACK, *by), overall_of(grain, "known", *by), "fallback_prediction", "fallback_source", *by)
+    return cascade(rows, lookup_tables(grain, FALLBACK, *by), overall_of(grain, "known", *by), key_counts(grain), "fallback_prediction", "fallback_source", *by)

@@ -34,9 +34,34 @@ def draw_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
+#: Hexadecimal digits of the drawing key that rows are counted by.
+COUNTED = 4
+
+
+def first_rows(rows: DataFrame, n: int, key: Column, *columns: str) -> DataFrame:
+    """The n first rows in the order of key (a digest as text, spread evenly) and columns; all if there are fewer.
+
+    Rows are counted by the first digits of the key, 16 ** COUNTED values or twice as many. What lies before the value in
+    which the n-th row is stays, and only the few rows of that value are put in order, so no task sees them all.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    keyed = rows.withColumns({"_key": key, "_bin": F.substring(key, 1, COUNTED + 1)})
+    left, border = n, None
+    for r in keyed.groupBy("_bin").count().orderBy("_bin").collect():
+        if r["count"] >= left:
+            border = r["_bin"]
+            break
+        left -= r["count"]
+    if border is None:
+        return rows
+    before = keyed.filter(F.col("_bin") < border)
+    return before.unionByName(keyed.filter(F.col("_bin") == border).orderBy("_key", *columns).limit(left)).drop("_key", "_bin")
+
+
 def draw(rows: DataFrame, n: int, seed: int, *columns: str) -> DataFrame:
     """n rows in the order of draw_key (all if there are fewer)."""
-    return rows.orderBy(draw_key(seed, *columns), *columns).limit(n)
+    return first_rows(rows, n, draw_key(seed, *columns), *columns)
 
 
 def recent_biased_sample(rows: DataFrame, most: int | None, recent_days: int = 28, seed: int = 42) -> DataFrame:
@@ -47,10 +72,9 @@ def recent_biased_sample(rows: DataFrame, most: int | None, recent_days: int = 2
     """
     if most is None:
         return rows
-    last = rows.agg(F.max("date").alias("_last"))
-    recent = F.when(F.datediff("_last", "date") <= recent_days - 1, 0).otherwise(1)
-    ordered = rows.crossJoin(F.broadcast(last)).orderBy(recent, draw_key(seed, *KEYS), *KEYS)
-    return ordered.limit(most).drop("_last")
+    last = rows.agg(F.max("date")).first()[0]
+    older = F.when(F.datediff(F.lit(last), "date") <= recent_days - 1, "0").otherwise("1")
+    return first_rows(rows, most, F.concat(older, draw_key(seed, *KEYS)), *KEYS)
 
 
 def zero_sample(pairs: DataFrame, observed: DataFrame, start: dt.date, end: dt.date, n: int, seed: int = 42) -> DataFrame:

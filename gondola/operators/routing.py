@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import clip0
-from gondola.operators.panel import draw_key
+from gondola.sources.files import cut_lineage
+from gondola.operators.panel import draw
 
 SERIES = ["store_nbr", "item_nbr", "series_id"]
 
@@ -40,9 +41,10 @@ def eligible_series(fit: DataFrame, horizon: DataFrame, seen_items: DataFrame, l
     fit_for = (F.col("enough_history_flag") == 1) & (F.col("unseen_item_flag") == 0)
     if not most_series:
         return flagged.withColumns({"is_tft_eligible": fit_for.cast("int"), "sampled_out_flag": F.lit(0)})
-    place = F.row_number().over(Window.partitionBy(fit_for).orderBy(draw_key(seed, "series_id"), "series_id"))
-    out = flagged.withColumn("_out", fit_for & (place > most_series))
-    return out.withColumns({"is_tft_eligible": (fit_for & ~F.col("_out")).cast("int"), "sampled_out_flag": F.col("_out").cast("int")}).drop("_out")
+    flagged = cut_lineage(flagged)
+    drawn = draw(flagged.filter(fit_for).select("series_id"), most_series, seed, "series_id").withColumn("_in", F.lit(1))
+    out = flagged.join(drawn, "series_id", "left").withColumns({"is_tft_eligible": F.coalesce("_in", F.lit(0)), "sampled_out_flag": (fit_for & F.col("_in").isNull()).cast("int")})
+    return out.drop("_in").select(*SERIES, "history_points", "unseen_item_flag", "enough_history_flag", "is_tft_eligible", "sampled_out_flag")
 
 
 def route(rows: DataFrame, model: str, fallback: str = "fallback_prediction") -> DataFrame:

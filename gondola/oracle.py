@@ -206,7 +206,8 @@ NAMED |= {
         CAST(coalesce(h.n, 0) >= {history_needed(LEAST_POINTS, ENCODER)} AS INTEGER) AS enough_history_flag
         FROM (SELECT DISTINCT store_nbr, item_nbr, series_id FROM s_panel) p LEFT JOIN (SELECT series_id, count(*) AS n FROM s_fit GROUP BY series_id) h USING (series_id)
         LEFT JOIN (SELECT DISTINCT item_nbr FROM clean WHERE date < {d(VALID_START)}) i USING (item_nbr)""",
-    "s_series": f"""SELECT * EXCLUDE (good, place), CAST(good AND place <= {MOST_SERIES} AS INTEGER) AS is_tft_eligible, CAST(good AND place > {MOST_SERIES} AS INTEGER) AS sampled_out_flag
+    "s_series": "SELECT *, CAST(enough_history_flag = 1 AND unseen_item_flag = 0 AS INTEGER) AS is_tft_eligible, CAST(0 AS INTEGER) AS sampled_out_flag FROM s_flags",
+    "s_drawn": f"""SELECT * EXCLUDE (good, place), CAST(good AND place <= {MOST_SERIES} AS INTEGER) AS is_tft_eligible, CAST(good AND place > {MOST_SERIES} AS INTEGER) AS sampled_out_flag
         FROM (SELECT *, row_number() OVER (PARTITION BY good ORDER BY {draw(42, 'series_id')}, series_id) AS place FROM (SELECT *, enough_history_flag = 1 AND unseen_item_flag = 0 AS good FROM s_flags))""",
     "s_horizon": "SELECT h.*, s.history_points, s.is_tft_eligible, s.unseen_item_flag, s.sampled_out_flag FROM " + fallback("s_panel", "s_fit") + " h LEFT JOIN s_series s USING (store_nbr, item_nbr, series_id)",
     "s_model": f"""SELECT h.*, CASE WHEN h.is_tft_eligible = 1 THEN coalesce(m.mean, 0) END AS tft_raw_prediction FROM s_horizon h
@@ -353,6 +354,7 @@ ORACLES: dict[str, str] = {
         "tft_fit_frame": shown("(SELECT * FROM s_fit SEMI JOIN (SELECT * FROM s_series WHERE is_tft_eligible = 1) USING (store_nbr, item_nbr))", *FEATURE_KEYS, "target", "target_log", "time_idx", "series_id"),
         "series_index": f"SELECT {KEYS}, CAST(date - {d(FIT_START)} AS INTEGER) AS time_idx, CAST(store_nbr AS BIGINT) * 10000000 + item_nbr AS series_id FROM {between(FIT_START, VALID_END)}",
         "series_eligibility": "SELECT * FROM s_series",
+        "series_sample": "SELECT * FROM s_drawn",
         "eligibility_summary": """SELECT count(*) AS total_pairs, count(*) FILTER (is_tft_eligible = 1) AS eligible_pairs, count(*) FILTER (is_tft_eligible = 0) AS fallback_pairs, count(*) FILTER (unseen_item_flag = 1) AS unseen_item_pairs,
             count(*) FILTER (enough_history_flag = 0) AS insufficient_history_pairs, count(*) FILTER (sampled_out_flag = 1) AS sampled_out_pairs FROM s_series""",
         "routed_prediction": f"SELECT {KEYS}, tft_raw_prediction, fallback_prediction, fallback_source, final_prediction, used_fallback FROM s_routed",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import add_calendar, item_weight, mean_of
-from gondola.operators.aggregates import STATS, derived, history_grain, part_of, prior_tables, recent_tables, sums, with_stats
+from gondola.operators.aggregates import STATS, derived, history_grain, key_counts, part_of, prior_tables, recent_tables, sums, with_stats
 from gondola.operators.external import FLAGS, dense_oil, with_common
 from gondola.operators.fallback import HIERARCHICAL, RECENT, cascade, fallback, grain_of, lookup_tables, overall_of, roll_up
 from gondola.operators.panel import rank_within, recent_biased_sample, zero_filled, zero_sample
@@ -52,7 +52,7 @@ def observed_fold(tables: Retail, valid_start: dt.date, lookback: int, transacti
     rows = rows.withColumn("part", F.when(F.col("date") < F.lit(valid_start), "fit").otherwise("valid"))
     fit = rows.filter("part = 'fit'")
     grain = history(tables, fit_start, valid_start - DAY, valid_start)
-    return with_stats(rows, recent_tables(grain), prior_tables(grain), fit, ("transactions",) if transactions else ())
+    return with_stats(rows, recent_tables(grain), prior_tables(grain), key_counts(grain), fit, ("transactions",) if transactions else ())
 
 
 def panel_fold(
@@ -66,13 +66,12 @@ def panel_fold(
     """
     fit_start, valid_end, last = valid_start - lookback * DAY, valid_start + (HORIZON - 1) * DAY, valid_start - DAY
     observed = tables.rows_between(fit_start, last)
-    full = with_common(observed, tables, fit_start, last)
     panel = zero_filled(tables.universe, tables.rows_between(valid_start, valid_end), valid_start, valid_end)
     horizon = with_common(panel, tables, valid_start, valid_end)
     grain = history(tables, fit_start, last, valid_start)
-    recent, prior = recent_tables(grain), prior_tables(grain)
-    stats = lambda rows: derived(with_stats(rows, recent, prior))
-    fit = stats(recent_biased_sample(full, most_fit))
+    recent, prior, counts = recent_tables(grain), prior_tables(grain), key_counts(grain)
+    stats = lambda rows: derived(with_stats(rows, recent, prior, counts))
+    fit = stats(with_common(recent_biased_sample(observed, most_fit), tables, fit_start, last))
     if zeros > 0:
         start = max(fit_start, valid_start - zero_days * DAY)
         drawn = zero_sample(tables.universe, observed, start, last, zeros)
@@ -92,8 +91,8 @@ def final_frames(
     fit_start = train_end - lookback * DAY
     observed = tables.rows_between(fit_start, train_end)
     grain = history(tables, fit_start, train_end, test_start)
-    recent, prior = recent_tables(grain), prior_tables(grain)
-    stats = lambda rows, start, end: derived(with_stats(with_common(rows, tables, start, end), recent, prior))
+    recent, prior, counts = recent_tables(grain), prior_tables(grain), key_counts(grain)
+    stats = lambda rows, start, end: derived(with_stats(with_common(rows, tables, start, end), recent, prior, counts))
     fit = stats(recent_biased_sample(observed, most_fit), fit_start, train_end)
     if zeros > 0:
         start = max(fit_start, train_end - (zero_days - 1) * DAY)
@@ -174,19 +173,19 @@ def baseline_rows(tables: Retail, valid_start: dt.date, lookback: int) -> tuple[
     return rows.filter(F.col("date") < F.lit(valid_start)), valid
 
 
-def baseline_tables(fit: DataFrame, valid_start: dt.date) -> tuple[list, list, DataFrame]:
-    """(tables of the recent-mean baseline, of the hierarchical baseline, the overall sum and count)."""
+def baseline_tables(fit: DataFrame, valid_start: dt.date) -> tuple[list, list, DataFrame, dict[str, int]]:
+    """(tables of the recent-mean baseline, of the hierarchical baseline, the overall sum and count, values of the keys)."""
     grain = grain_of(fit)
     recent = sums(fit.filter(F.col("date") >= F.lit(valid_start - 28 * DAY)), ["store_nbr", "item_nbr"])
     weekday = lookup_tables(grain, RECENT[2:])
-    return lookup_tables(recent, RECENT[:2]) + weekday, lookup_tables(grain, HIERARCHICAL), overall_of(weekday[0][1])
+    return lookup_tables(recent, RECENT[:2]) + weekday, lookup_tables(grain, HIERARCHICAL), overall_of(weekday[0][1]), key_counts(grain)
 
 
 def baselines(tables: Retail, valid_start: dt.date, lookback: int = 112) -> tuple[DataFrame, DataFrame]:
     """The horizon with the forecasts (prediction, source) of the recent-mean and of the hierarchical baseline."""
     fit, valid = baseline_rows(tables, valid_start, lookback)
-    recent, hierarchical, overall = baseline_tables(fit, valid_start)
-    return cascade(valid, recent, overall, "prediction", "source"), cascade(valid, hierarchical, overall, "prediction", "source")
+    recent, hierarchical, overall, counts = baseline_tables(fit, valid_start)
+    return cascade(valid, recent, overall, counts, "prediction", "source"), cascade(valid, hierarchical, overall, counts, "prediction", "source")
 
 
 def fold_scores(tables: Retail, settings: DataFrame) -> DataFrame:

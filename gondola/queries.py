@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gondola.functions.columns import add_calendar, item_weight, mean_of, ratio
 from gondola.operators import aggregates, eda, external, fallback, panel, routing, scoring
 from gondola.plans import frames, model
-from gondola.sources.retail import TEST_END, TRAIN_END, load
+from gondola.sources.retail import TEST_END, TRAIN_END, load_kept
 
 DAY = dt.timedelta(1)
 TEST_START = TRAIN_END + DAY
@@ -32,7 +32,7 @@ FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(f: Callable) -> Callable:
     """Register f(tables) under its name."""
-    FOUND[f.__name__] = lambda spark, sf_dir: f(load(spark, sf_dir))
+    FOUND[f.__name__] = lambda spark, sf_dir: f(load_kept(spark, sf_dir))
     return f
 
 
@@ -261,7 +261,7 @@ def long_tables(tables: list) -> DataFrame:
 
 @query
 def baseline_lookup_tables(t):
-    recent, hierarchical, _ = frames.baseline_tables(frames.baseline_rows(t, VALID_START, LOOKBACK)[0], VALID_START)
+    recent, hierarchical, _, _ = frames.baseline_tables(frames.baseline_rows(t, VALID_START, LOOKBACK)[0], VALID_START)
     return long_tables(recent[:2] + hierarchical)
 
 
@@ -395,8 +395,8 @@ SERIES_FLAGS = ("history_points", "is_tft_eligible", "unseen_item_flag", "sample
 LEAST_POINTS, ENCODER, MOST_SERIES = 3, 56, 40
 
 
-def series_fold(t):
-    return frames.series_fold(t, VALID_START, LOOKBACK, ENCODER, LEAST_POINTS, MOST_SERIES)
+def series_fold(t, most_series=None):
+    return frames.series_fold(t, VALID_START, LOOKBACK, ENCODER, LEAST_POINTS, most_series)
 
 
 @query
@@ -420,6 +420,12 @@ def series_eligibility(t):
     return series_fold(t)[2]
 
 
+@query
+def series_sample(t):
+    """Eligibility where a model takes at most MOST_SERIES series, which are drawn."""
+    return series_fold(t, MOST_SERIES)[2]
+
+
 @query
 def eligibility_summary(t):
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")

@@ -60,16 +60,30 @@ def cached(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data, which the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where none is set (local tests) is a
-    folder of this machine used.
+    Only in local mode (tests) may none be named; a folder of this machine serves then.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gondola-checkpoint-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gondola-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stamp(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of the files at a path, so that a cache is not read after its input has changed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(hadoop))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder (see checkpoint_folder)."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
