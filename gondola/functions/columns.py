@@ -36,6 +36,11 @@ def mean_of(x: Column) -> Column:
     return ratio(F.sum(x), F.count(x))
 
 
+def known_code(name: str) -> Column:
+    """A code column that must not be null: a row without one ends the query, naming the column."""
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is null"))).otherwise(F.col(name))
+
+
 def month_end(d: Column) -> Column:
     return d == F.last_day(d)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,39 @@ def eligible_series(fit: DataFrame, horizon: DataFrame, seen_items: DataFrame, l
     return out.drop("_in").select(*SERIES, "history_points", "unseen_item_flag", "enough_history_flag", "is_tft_eligible", "sampled_out_flag")
 
 
-def route(rows: DataFrame, model: str, fallback: str = "fallback_prediction") -> DataFrame:
-    """rows with final_prediction: the model's where the series is eligible and it has one, else the fallback's; and used_fallback."""
-    use = (F.col("is_tft_eligible") == 1) & F.col(model).isNotNull()
-    return rows.withColumns({"final_prediction": clip0(F.when(use, F.col(model)).otherwise(F.col(fallback))), "used_fallback": (~use).cast("int")})
+def route(rows: DataFrame, model: str | None, fallback: str = "fallback_prediction") -> DataFrame:
+    """rows with final_prediction: the model's where the series is eligible and it has one, else the fallback's; and used_fallback.
+
+    Without a model every row takes the fallback.
+    """
+    raw = F.lit(None).cast("double") if model is None else F.col(model)
+    use = (F.col("is_tft_eligible") == 1) & raw.isNotNull()
+    return rows.withColumns({"final_prediction": clip0(F.when(use, raw).otherwise(F.col(fallback))), "used_fallback": (~use).cast("int")})
+
+
+#: What stands for a missing category.
+NO_CATEGORY = "0"
+
+
+def as_categories(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """rows with columns as text, null as NO_CATEGORY."""
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(NO_CATEGORY)) for c in columns})
+
+
+def vocabulary(parts: Iterable[DataFrame], columns: Iterable[str]) -> DataFrame:
+    """(column_name, value): the categories that occur in any of the parts, and NO_CATEGORY, so that all parts share them.
+
+    All columns are met in one pass over each part; values are made distinct before they are shuffled.
+    """
+    names, out = list(columns), None
+    for part in parts:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in names])
+        found = as_categories(part.select(*names), names).select(F.inline(pairs)).distinct()
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise ValueError("a vocabulary needs at least one part")
+    fill = out.sparkSession.createDataFrame([(c, NO_CATEGORY) for c in names], "column_name string, value string")
+    return out.union(fill).distinct()
 
 
 def blend_weight(count_log: Column, scale: float, least: float, unseen: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions.columns import clip0, log1p, mean_of, ratio
+from gondola.sources.files import resolve_date
 
 
 def weighted_rmsle(actual: Column, predicted: Column, weight: Column) -> Column:
@@ -38,6 +39,18 @@ def score_by(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def score_each(rows: DataFrame, predictors: dict[str, str]) -> DataFrame:
+    """(model, weighted_rmsle) of several forecasts of the same rows (name: column), in one aggregate."""
+    scores = [weighted_rmsle(F.col("actual"), F.col(c), F.col("weight")).alias(f"_{i}") for i, c in enumerate(predictors.values())]
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_{i}").alias("weighted_rmsle")) for i, n in enumerate(predictors)])
+    return rows.agg(*scores).select(F.inline(pairs))
+
+
+def valid_start_of(value: str | None, train_end: dt.date, horizon: int = 16, step: int = 28, folds: int = 4) -> dt.date:
+    """The day that a setting names, or the first day of the latest fold."""
+    return resolve_date(value, rolling_folds(train_end, horizon, step, folds)[-1][1])
+
+
 def summarise(scores: DataFrame, *keys: str, value: str = "weighted_rmsle") -> DataFrame:
     """Mean, sample deviation (null for one fold), least and greatest score."""
     return scores.groupBy(*keys).agg(F.avg(value).alias("mean_score"), F.stddev_samp(value).alias("std_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"))

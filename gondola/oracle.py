@@ -10,8 +10,8 @@ import re
 
 from gondola.operators.external import FLAGS
 from gondola.operators.fallback import FALLBACK, HIERARCHICAL, RECENT
-from gondola.plans.frames import CODES, DERIVED, FEATURES, KNOWN, LEGACY, LEGACY_STATS
-from gondola.queries import BASELINE, ENCODER, FIT_END, FIT_START, LEAST_POINTS, LOCALES, LOOKBACK, LOOKBACKS, MOST_SERIES, ROUNDED, SERIES_FLAGS, TEST_START, VALID_END, VALID_START
+from gondola.plans.frames import CATEGORIES, CODES, DERIVED, FEATURES, KNOWN, LEGACY, LEGACY_STATS
+from gondola.queries import BASELINE, ENCODER, FIT_END, FIT_START, HOLDOUT, LEAST_POINTS, LOCALES, LOOKBACK, LOOKBACKS, MOST_SERIES, ROUNDED, SERIES_FLAGS, TEST_START, VALID_END, VALID_START
 from gondola.operators.aggregates import STATS
 from gondola.operators.routing import history_needed
 from gondola.operators.scoring import rolling_folds
@@ -178,6 +178,11 @@ def rmsle(actual: str, predicted: str, weight: str) -> str:
     return f"sqrt(sum({weight} * {e} * {e}) / sum(CASE WHEN {e} IS NOT NULL THEN {weight} END))"
 
 
+def index(start: dt.date) -> str:
+    return f"ln(1.0 + target) AS target_log, CAST(date - {d(start)} AS INTEGER) AS time_idx, CAST(store_nbr AS BIGINT) * 10000000 + item_nbr AS series_id"
+
+
+FINAL_START = TRAIN_END - LOOKBACK * DAY
 FEATURE_KEYS = ("date", "store_nbr", "item_nbr")
 NAMED |= {
     "b_rows": f"SELECT r.*, {CALENDAR}, m.family, m.family_code, m.class, m.perishable, CAST({WEIGHT} AS DOUBLE) AS weight FROM {between(FIT_START, VALID_END)} r LEFT JOIN item_meta m USING (item_nbr)",
@@ -212,6 +217,15 @@ NAMED |= {
     "s_horizon": "SELECT h.*, s.history_points, s.is_tft_eligible, s.unseen_item_flag, s.sampled_out_flag FROM " + fallback("s_panel", "s_fit") + " h LEFT JOIN s_series s USING (store_nbr, item_nbr, series_id)",
     "s_model": f"""SELECT h.*, CASE WHEN h.is_tft_eligible = 1 THEN coalesce(m.mean, 0) END AS tft_raw_prediction FROM s_horizon h
         LEFT JOIN (SELECT store_nbr, item_nbr, sum(target) / count(target) AS mean FROM {between(VALID_START - 28 * DAY, FIT_END)} GROUP BY store_nbr, item_nbr) m USING (store_nbr, item_nbr)""",
+    "y_fit": f"SELECT *, {index(FINAL_START)} FROM " + common(f"(SELECT * FROM {between(FINAL_START, TRAIN_END)} SEMI JOIN universe USING (store_nbr, item_nbr))", FINAL_START, TRAIN_END),
+    "y_test": f"SELECT *, {index(FINAL_START)} FROM " + common("(SELECT *, CAST(0 AS DOUBLE) AS target FROM x_rows)", TEST_START, TEST_END),
+    "y_flags": f"""SELECT p.store_nbr, p.item_nbr, CAST(coalesce(h.n, 0) AS INTEGER) AS history_points, CAST(i.item_nbr IS NULL AS INTEGER) AS unseen_item_flag
+        FROM universe p LEFT JOIN (SELECT store_nbr, item_nbr, count(*) AS n FROM y_fit GROUP BY ALL) h USING (store_nbr, item_nbr)
+        LEFT JOIN (SELECT DISTINCT item_nbr FROM clean WHERE date < {d(TEST_START)}) i USING (item_nbr)""",
+    "y_horizon": f"""SELECT h.*, f.history_points, f.unseen_item_flag, CAST(f.history_points >= 7 AND f.unseen_item_flag = 0 AS INTEGER) AS is_tft_eligible, CAST(0 AS INTEGER) AS sampled_out_flag
+        FROM {fallback('y_test', 'y_fit')} h LEFT JOIN y_flags f USING (store_nbr, item_nbr)""",
+    "h_rows": f"""SELECT v.date, v.target AS actual, v.siw_mean AS model_prediction, CAST({WEIGHT} AS DOUBLE) AS weight, a.prediction AS recent_mean_prediction, b.prediction AS hierarchical_prediction
+        FROM {stats('v_common', 'v_fit', VALID_START, 'v_fit')} v JOIN b_mean a USING ({KEYS}) JOIN b_hier b USING ({KEYS})""".replace(WEIGHT, WEIGHT.replace("perishable", "v.perishable")),
     "s_routed": """SELECT *, CASE WHEN y < 0 THEN 0 ELSE y END AS final_prediction, CAST(NOT use_model AS INTEGER) AS used_fallback FROM (SELECT *, is_tft_eligible = 1 AND tft_raw_prediction IS NOT NULL AS use_model,
         CASE WHEN is_tft_eligible = 1 AND tft_raw_prediction IS NOT NULL THEN tft_raw_prediction ELSE fallback_prediction END AS y FROM s_model)""",
 }
@@ -363,6 +377,14 @@ ORACLES: dict[str, str] = {
         "blended_prediction": f"""SELECT {KEYS}, round(w, 6) AS model_weight, round(CASE WHEN y < 0 THEN 0 ELSE y END, 6) AS blended FROM (SELECT *, w * si_recent28 + (1.0 - w) * fallback_prediction AS y FROM (SELECT *,
             CASE WHEN item_all_count_log <= 0 THEN 0.2 ELSE 0.85 + CAST(0.15 AS DOUBLE) * CASE WHEN item_all_count_log / 3.0 > 1 THEN 1.0 ELSE item_all_count_log / 3.0 END END AS w FROM p_horizon))""",
         "unseen_summary": "SELECT unseen_item_flag, count(*) AS rows, round(sum(fallback_prediction) / count(fallback_prediction), 6) AS mean_prediction FROM x_frame GROUP BY unseen_item_flag",
+        "tft_test_frame": shown("y_horizon", "id", *FEATURE_KEYS, "target_log", "time_idx", "series_id", *CODES, *KNOWN, "dcoilwtico", *FLAGS, "fallback_prediction", "fallback_source", *SERIES_FLAGS),
+        "fallback_only_forecast": f"SELECT id, {KEYS}, fallback_source, fallback_prediction AS final_prediction, CAST(1 AS INTEGER) AS used_fallback FROM y_horizon",
+        "category_vocabulary": " UNION ".join(
+            f"SELECT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), '0') AS value FROM {rows}"
+            for c in CATEGORIES for rows in ("(SELECT * FROM s_fit SEMI JOIN (SELECT * FROM s_series WHERE is_tft_eligible = 1) USING (store_nbr, item_nbr))", "s_panel")
+        ) + " UNION " + " UNION ".join(f"SELECT '{c}', '0'" for c in CATEGORIES),
+        "holdout_scores": " UNION ALL ".join(f"SELECT '{n}' AS model, round({rmsle('actual', c, 'weight')}, 6) AS weighted_rmsle FROM h_rows" for n, c in HOLDOUT.items()),
+        "holdout_daily": "SELECT date, sum(actual) AS actual, " + ", ".join(f"round(sum({c}), 6) AS {c}" for c in HOLDOUT.values()) + " FROM h_rows GROUP BY date",
         "unpivot_horizon": "SELECT series_id, time_idx, fallback_prediction AS prediction FROM s_horizon WHERE is_tft_eligible = 1",
         "rolling_folds": "SELECT DISTINCT fold, valid_start, valid_end FROM settings",
         "cv_scores": rounded("SELECT * FROM cv", "weighted_rmsle", "mean_actual"),

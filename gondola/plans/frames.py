@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.functions.columns import add_calendar, item_weight, mean_of
+from gondola.functions.columns import add_calendar, item_weight, mean_of, promo_flag
 from gondola.operators.aggregates import STATS, derived, history_grain, key_counts, part_of, prior_tables, recent_tables, sums, with_stats
 from gondola.operators.external import FLAGS, dense_oil, with_common
 from gondola.operators.fallback import HIERARCHICAL, RECENT, cascade, fallback, grain_of, lookup_tables, overall_of, roll_up
@@ -30,6 +31,8 @@ DERIVED = (
 )
 LEGACY_STATS = ("si_recent28", "siw_mean", "fsw_mean", "fw_mean", "item_mean", "store_mean")
 LEGACY = (*CODES, *KNOWN, "transactions", "dcoilwtico", *FLAGS, *LEGACY_STATS)
+#: What a sequence model takes as categories.
+CATEGORIES = (*CODES, *KNOWN, *FLAGS)
 KEYS = ("date", "store_nbr", "item_nbr")
 
 
@@ -102,6 +105,21 @@ def final_frames(
     return fit, test.withColumn("unseen_item_flag", (F.col("item_all_count_log") == 0).cast("int"))
 
 
+def series_rows(rows: DataFrame, tables: Retail, start: dt.date, end: dt.date, fit_start: dt.date) -> DataFrame:
+    """rows of the days start to end with exogenous features, target_log, time_idx counted from fit_start, and series_id;
+    gaps are 0."""
+    out = with_common(rows.fillna({"target": 0.0, "onpromotion": 0}), tables, start, end)
+    out = out.fillna(0.0, ["dcoilwtico"])  # dense: a price on every day or on none
+    return series_index(out.fillna(0, list(CODES)).withColumn("target_log", F.log(F.col("target") + 1.0)), fit_start)
+
+
+def with_eligibility(fit: DataFrame, horizon: DataFrame, seen: DataFrame, least: int, most_series: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fit rows of eligible series, the horizon with fallback and flags, series with their flags)."""
+    series = eligible_series(fit, horizon, seen, least, most_series, seed)
+    horizon = fallback(horizon, grain_of(fit)).join(series.drop("enough_history_flag"), SERIES, "left")
+    return fit.join(series.filter("is_tft_eligible = 1"), ["store_nbr", "item_nbr"], "left_semi"), horizon, series
+
+
 def series_fold(
     tables: Retail, valid_start: dt.date, lookback: int, encoder: int = 56, least_points: int = 28, most_series: int | None = None, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,22 +128,28 @@ def series_fold(
     Only pairs of the test universe take part, also in the fallback's tables; only exogenous features are attached.
     """
     fit_start, valid_end, last = valid_start - lookback * DAY, valid_start + (HORIZON - 1) * DAY, valid_start - DAY
-    pair = ["store_nbr", "item_nbr"]
-    observed = tables.rows_between(fit_start, valid_end).join(tables.universe, pair, "left_semi")
-
-    def base(rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-        out = with_common(rows.fillna({"target": 0.0, "onpromotion": 0}), tables, start, end)
-        out = out.fillna(0.0, ["dcoilwtico"])  # dense: a price on every day or on none
-        return series_index(out.fillna(0, list(CODES)).withColumn("target_log", F.log(F.col("target") + 1.0)), fit_start)
-
-    fit = base(observed.filter(F.col("date") < F.lit(valid_start)), fit_start, last)
+    observed = tables.rows_between(fit_start, valid_end).join(tables.universe, ["store_nbr", "item_nbr"], "left_semi")
+    fit = series_rows(observed.filter(F.col("date") < F.lit(valid_start)), tables, fit_start, last, fit_start)
     panel = zero_filled(tables.universe, observed.filter(F.col("date") >= F.lit(valid_start)), valid_start, valid_end)
-    horizon = base(panel, valid_start, valid_end)
+    horizon = series_rows(panel, tables, valid_start, valid_end, fit_start)
     seen = tables.clean.filter(F.col("date") < F.lit(valid_start))
-    series = eligible_series(fit, horizon, seen, history_needed(least_points, encoder), most_series, seed)
-    horizon = fallback(horizon, grain_of(fit)).join(series.drop("enough_history_flag"), SERIES, "left")
-    eligible = fit.join(series.filter("is_tft_eligible = 1"), pair, "left_semi")
-    return eligible, horizon, series
+    return with_eligibility(fit, horizon, seen, history_needed(least_points, encoder), most_series, seed)
+
+
+def series_final(
+    tables: Retail, train_end: dt.date, test_start: dt.date, test_end: dt.date, lookback: int, encoder: int = 56, least_points: int = 28, most_series: int | None = None, seed: int = 42
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same as series_fold for the test rows, which keep their id and have target 0.
+
+    The fit window is [train_end - lookback, train_end], a day more than in folds; items count as seen before test_start.
+    """
+    fit_start = train_end - lookback * DAY
+    observed = tables.rows_between(fit_start, train_end).join(tables.universe, ["store_nbr", "item_nbr"], "left_semi")
+    fit = series_rows(observed, tables, fit_start, train_end, fit_start)
+    rows = tables.test.select("id", *KEYS, promo_flag(F.col("onpromotion")).alias("onpromotion"), F.lit(0.0).alias("target"))
+    test = series_rows(rows, tables, test_start, test_end, fit_start)
+    seen = tables.clean.filter(F.col("date") < F.lit(test_start))
+    return with_eligibility(fit, test, seen, history_needed(least_points, encoder), most_series, seed)
 
 
 def legacy_fold(tables: Retail, valid_start: dt.date, lookback: int) -> DataFrame:
@@ -188,6 +212,17 @@ def baselines(tables: Retail, valid_start: dt.date, lookback: int = 112) -> tupl
     return cascade(valid, recent, overall, counts, "prediction", "source"), cascade(valid, hierarchical, overall, counts, "prediction", "source")
 
 
+def holdout_rows(tables: Retail, valid_start: dt.date, lookback: int, forecast: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The observed horizon with the forecasts of three predictors: both lookup baselines, and model_prediction, which
+    ``forecast`` (fit rows, horizon rows, both with all features) adds to the horizon."""
+    rows = observed_fold(tables, valid_start, lookback)
+    recent, hierarchical, overall, counts = baseline_tables(baseline_rows(tables, valid_start, lookback)[0], valid_start)
+    out = forecast(rows.filter("part = 'fit'"), rows.filter("part = 'valid'"))
+    out = out.withColumnRenamed("target", "actual").withColumn("weight", item_weight(F.col("perishable")))
+    out = cascade(out, recent, overall, counts, "recent_mean_prediction", "recent_mean_source")
+    return cascade(out, hierarchical, overall, counts, "hierarchical_prediction", "hierarchical_source")
+
+
 def fold_scores(tables: Retail, settings: DataFrame) -> DataFrame:
     """The fallback's score in every fold and lookback of settings (fold, lookback, fit_start, valid_start, valid_end).
 

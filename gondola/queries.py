@@ -475,6 +475,47 @@ def unseen_summary(t):
     return rounded(out.groupBy("unseen_item_flag").agg(F.count(F.lit(1)).alias("rows"), mean_of(F.col("fallback_prediction")).alias("mean_prediction")), "mean_prediction")
 
 
+def series_test(t):
+    return frames.series_final(t, TRAIN_END, TEST_START, TEST_END, LOOKBACK, ENCODER, LEAST_POINTS)
+
+
+@query
+def tft_test_frame(t):
+    """The test rows as a sequence model takes them."""
+    horizon = series_test(t)[1]
+    return shown(horizon, "id", *FRAME_KEYS, "target_log", "time_idx", "series_id", *frames.CODES, *frames.KNOWN, "dcoilwtico", *external.FLAGS, "fallback_prediction", "fallback_source", *SERIES_FLAGS)
+
+
+@query
+def fallback_only_forecast(t):
+    """The test rows' forecasts where there is no model."""
+    return routing.route(series_test(t)[1], None).select("id", *FRAME_KEYS, "fallback_source", "final_prediction", "used_fallback")
+
+
+@query
+def category_vocabulary(t):
+    fit, horizon, _ = series_fold(t)
+    return routing.vocabulary((fit, horizon), frames.CATEGORIES)
+
+
+HOLDOUT = {"recent_mean_28d": "recent_mean_prediction", "hierarchical_weekday_promo": "hierarchical_prediction", "feature_model": "model_prediction"}
+
+
+def holdout(t) -> DataFrame:
+    """The hold-out with one feature, the mean of a pair's weekday, standing in for a fitted model."""
+    return frames.holdout_rows(t, VALID_START, LOOKBACK, lambda fit, valid: valid.withColumn("model_prediction", F.col("siw_mean")))
+
+
+@query
+def holdout_scores(t):
+    return rounded(scoring.score_each(holdout(t), HOLDOUT), "weighted_rmsle")
+
+
+@query
+def holdout_daily(t):
+    return holdout(t).groupBy("date").agg(F.sum("actual").alias("actual"), *[F.round(F.sum(c), 6).alias(c) for c in HOLDOUT.values()])
+
+
 @query
 def unpivot_horizon(t):
     horizon = series_fold(t)[1].filter("is_tft_eligible = 1")
