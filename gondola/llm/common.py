@@ -42,6 +42,19 @@ def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataF
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a small intermediate table that one file of a checkpoint takes at least.
+FILE_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most ``rows`` narrow rows, in no more partitions than the cores and these rows call for.
+
+    It is meant for tables that are checkpointed again and again, as each partition is a file there, for which an
+    executor may have to start a process. Partitions are only joined, so the rows are not shuffled once more.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def as_bytes(column: str) -> Column:
     """A text column as its UTF-8 bytes, which saves Python from decoding them."""
     return F.col(column).cast("string").cast("binary")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, map_batches, map_slices
+from gondola.llm.common import arrow_schema, as_bytes, cut_lineage, gathered, map_batches, map_slices
 
 BITS = 64
 SEED = 42
@@ -344,12 +344,14 @@ def components(links: DataFrame) -> DataFrame:
     is cut off from the last by a checkpoint.
     """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    most = both.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"))
+    labels = cut_lineage(gathered(labels, most))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         taken = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        moved = cut_lineage(taken.join(hop, "label").select("node", "was", F.least("label", "hop").alias("label")))
+        moved = cut_lineage(gathered(taken.join(hop, "label").select("node", "was", F.least("label", "hop").alias("label")), most))
         labels = moved.select("node", "label")
         if moved.filter("was <> label").isEmpty():
             return labels
@@ -372,7 +374,7 @@ def near_duplicates(
     rows. Columns besides the two are not read.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    distinct = cut_lineage(gathered(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), rows.count()))
     keys = bucket_keys(F.col("fp"), radius, blocks_for(distinct.count(), radius))
     keyed = distinct.select("fp", keys.alias("key")).select("key.kind", "key.value", "fp")
     found = cut_lineage(link_buckets(keyed, radius))
