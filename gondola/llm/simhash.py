@@ -679,7 +679,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     thin = cut_lineage(sketches(docs, id_col, text_col, width))
     rep = F.min(F.struct(*row_key("doc_id"), "text_key"))
-    distinct = cut_lineage(thin.groupBy("node").agg(rep.alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "bands", *FP)]))
+    rows = thin.count()
+    distinct = cut_lineage(gathered(thin.groupBy("node").agg(rep.alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "bands", *FP)]), rows))
     labels = components(candidate_links(distinct, radius))
     members = labels.join(distinct.select("node", "size", "rep.*"), "node")
     texts = docs.select(*row_key(id_col), text_key(text_col).alias("text_key"), as_bytes(text_col).alias("text"))
@@ -689,6 +690,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = dict(docs.dtypes)
     hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col), text_key(text_col).alias("text_key"), F.xxhash64(*hashed).alias("turn"))
-    kept = packed.join(cut_lineage(chosen.select("rep.*")), ROW_KEY, "left_semi")
+    kept = packed.join(cut_lineage(gathered(chosen.select("rep.*"), rows)), ROW_KEY, "left_semi")
     first = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("turn"))
     return kept.withColumn("first", first).filter("first = 1").select("row.*")
