@@ -1,21 +1,82 @@
 """SQL for the named queries, in the dialect of DuckDB, over the same parquet tables.
 
 NAMED holds subqueries by name; ``sql()`` puts those that a statement mentions, directly or not, in front of it.
+
+Levels, thresholds, windows, folds and flags are written out here and not taken from the engine, so that a wrong one there
+shows. Only lists of columns, and the holidays of the mapped tables, are shared.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+from typing import NamedTuple
 
-from gondola.operators.external import FLAGS
-from gondola.operators.fallback import FALLBACK, HIERARCHICAL, RECENT
-from gondola.plans.frames import CATEGORIES, CODES, DERIVED, FEATURES, KNOWN, LEGACY, LEGACY_STATS
-from gondola.queries import BASELINE, ENCODER, FIT_END, FIT_START, HOLDOUT, LEAST_POINTS, LOCALES, LOOKBACK, LOOKBACKS, MOST_SERIES, ROUNDED, SERIES_FLAGS, TEST_START, VALID_END, VALID_START
 from gondola.operators.aggregates import STATS
-from gondola.operators.routing import history_needed
-from gondola.operators.scoring import rolling_folds
-from gondola.sources.retail import HOLIDAYS, TEST_END, TRAIN_END
+from gondola.plans.frames import CATEGORIES, CODES, DERIVED, FEATURES, KNOWN, LEGACY, LEGACY_STATS
+from gondola.queries import BASELINE, HOLDOUT, ROUNDED, SERIES_FLAGS
+from gondola.sources.retail import HOLIDAYS
+
+
+class Step(NamedTuple):
+    """A level of a prioritised lookup: its name, its keys and the rows that it needs."""
+
+    source: str
+    keys: list[str]
+    least: int
+
+
+#: The levels of the model's fallback and of the two baselines.
+FALLBACK = [
+    Step("store_item_weekday_promo", ["store_nbr", "item_nbr", "weekday", "onpromotion"], 2),
+    Step("store_item_weekday", ["store_nbr", "item_nbr", "weekday"], 2),
+    Step("family_store_weekday_promo", ["family_code", "store_nbr", "weekday", "onpromotion"], 5),
+    Step("family_store_weekday", ["family_code", "store_nbr", "weekday"], 5),
+    Step("class_store_weekday_promo", ["class", "store_nbr", "weekday", "onpromotion"], 5),
+    Step("class_store_weekday", ["class", "store_nbr", "weekday"], 5),
+    Step("family_weekday_promo", ["family_code", "weekday", "onpromotion"], 10),
+    Step("family_weekday", ["family_code", "weekday"], 10),
+    Step("class_weekday", ["class", "weekday"], 10),
+    Step("store_weekday", ["store_nbr", "weekday"], 10),
+    Step("weekday", ["weekday"], 1),
+]
+HIERARCHICAL = [
+    Step("store_item_weekday_promo", ["store_nbr", "item_nbr", "weekday", "onpromotion"], 2),
+    Step("store_item_weekday", ["store_nbr", "item_nbr", "weekday"], 2),
+    Step("family_store_weekday_promo", ["family_code", "store_nbr", "weekday", "onpromotion"], 5),
+    Step("family_store_weekday", ["family_code", "store_nbr", "weekday"], 5),
+    Step("family_weekday_promo", ["family_code", "weekday", "onpromotion"], 10),
+    Step("family_weekday", ["family_code", "weekday"], 10),
+    Step("weekday", ["weekday"], 1),
+]
+RECENT = [
+    Step("store_item_recent28", ["store_nbr", "item_nbr"], 2),
+    Step("item_recent28", ["item_nbr"], 5),
+    Step("weekday", ["weekday"], 1),
+]
+#: The kinds of holidays behind each flag.
+FLAGS = {
+    "is_holiday": ("Holiday", "Transfer"),
+    "is_event": ("Event",),
+    "is_additional": ("Additional",),
+    "is_bridge": ("Bridge",),
+    "is_work_day": ("Work Day",),
+}
+LOCALES = ("Local", "National", "Other", "Regional")
+#: Days of the mapped tables: training ends, the test's 16 days, the hold-out and the 112 days before it.
+TRAIN_END = dt.date(2001, 7, 15)
+TEST_START, TEST_END = dt.date(2001, 7, 16), dt.date(2001, 7, 31)
+VALID_START, VALID_END = dt.date(2001, 6, 30), dt.date(2001, 7, 15)
+FIT_START, FIT_END = dt.date(2001, 3, 10), dt.date(2001, 6, 29)
+LOOKBACK, LOOKBACKS = 112, (112, 224)
+FOLDS = [
+    ("fold_1", dt.date(2001, 4, 7), dt.date(2001, 4, 22)),
+    ("fold_2", dt.date(2001, 5, 5), dt.date(2001, 5, 20)),
+    ("fold_3", dt.date(2001, 6, 2), dt.date(2001, 6, 17)),
+    ("fold_4", dt.date(2001, 6, 30), dt.date(2001, 7, 15)),
+]
+#: Days of history that a series needs, and the series that series_sample draws.
+HISTORY_NEEDED, MOST_SERIES = 7, 40
 
 DAY = dt.timedelta(1)
 KEYS = "date, store_nbr, item_nbr"
@@ -208,7 +269,7 @@ NAMED |= {
     "s_panel": f"SELECT *, ln(1.0 + target) AS target_log, CAST(date - {d(FIT_START)} AS INTEGER) AS time_idx, CAST(store_nbr AS BIGINT) * 10000000 + item_nbr AS series_id FROM "
     + common(zero_filled(VALID_START, VALID_END, "s_seen"), VALID_START, VALID_END),
     "s_flags": f"""SELECT p.store_nbr, p.item_nbr, p.series_id, CAST(coalesce(h.n, 0) AS INTEGER) AS history_points, CAST(i.item_nbr IS NULL AS INTEGER) AS unseen_item_flag,
-        CAST(coalesce(h.n, 0) >= {history_needed(LEAST_POINTS, ENCODER)} AS INTEGER) AS enough_history_flag
+        CAST(coalesce(h.n, 0) >= {HISTORY_NEEDED} AS INTEGER) AS enough_history_flag
         FROM (SELECT DISTINCT store_nbr, item_nbr, series_id FROM s_panel) p LEFT JOIN (SELECT series_id, count(*) AS n FROM s_fit GROUP BY series_id) h USING (series_id)
         LEFT JOIN (SELECT DISTINCT item_nbr FROM clean WHERE date < {d(VALID_START)}) i USING (item_nbr)""",
     "s_series": "SELECT *, CAST(enough_history_flag = 1 AND unseen_item_flag = 0 AS INTEGER) AS is_tft_eligible, CAST(0 AS INTEGER) AS sampled_out_flag FROM s_flags",
@@ -222,7 +283,7 @@ NAMED |= {
     "y_flags": f"""SELECT p.store_nbr, p.item_nbr, CAST(coalesce(h.n, 0) AS INTEGER) AS history_points, CAST(i.item_nbr IS NULL AS INTEGER) AS unseen_item_flag
         FROM universe p LEFT JOIN (SELECT store_nbr, item_nbr, count(*) AS n FROM y_fit GROUP BY ALL) h USING (store_nbr, item_nbr)
         LEFT JOIN (SELECT DISTINCT item_nbr FROM clean WHERE date < {d(TEST_START)}) i USING (item_nbr)""",
-    "y_horizon": f"""SELECT h.*, f.history_points, f.unseen_item_flag, CAST(f.history_points >= 7 AND f.unseen_item_flag = 0 AS INTEGER) AS is_tft_eligible, CAST(0 AS INTEGER) AS sampled_out_flag
+    "y_horizon": f"""SELECT h.*, f.history_points, f.unseen_item_flag, CAST(f.history_points >= {HISTORY_NEEDED} AND f.unseen_item_flag = 0 AS INTEGER) AS is_tft_eligible, CAST(0 AS INTEGER) AS sampled_out_flag
         FROM {fallback('y_test', 'y_fit')} h LEFT JOIN y_flags f USING (store_nbr, item_nbr)""",
     "h_rows": f"""SELECT v.date, v.target AS actual, v.siw_mean AS model_prediction, CAST({WEIGHT} AS DOUBLE) AS weight, a.prediction AS recent_mean_prediction, b.prediction AS hierarchical_prediction
         FROM {stats('v_common', 'v_fit', VALID_START, 'v_fit')} v JOIN b_mean a USING ({KEYS}) JOIN b_hier b USING ({KEYS})""".replace(WEIGHT, WEIGHT.replace("perishable", "v.perishable")),
@@ -246,7 +307,6 @@ def missing(name: str, table: str, columns: list[str], dated: bool) -> str:
     return f"SELECT '{name}' AS table_name, count(*) AS rows, CAST({len(columns)} AS INTEGER) AS cols, {dates}, round(({nulls}) / {len(columns)}, 6) AS missing_share FROM {table}"
 
 
-FOLDS = rolling_folds(TRAIN_END)
 NAMED["settings"] = "SELECT fold, CAST(lookback AS INTEGER) AS lookback, CAST(a AS DATE) AS fit_start, CAST(b AS DATE) AS valid_start, CAST(c AS DATE) AS valid_end FROM (VALUES " + ", ".join(f"('{f}', {n}, '{s - n * DAY}', '{s}', '{e}')" for f, s, e in FOLDS for n in LOOKBACKS) + ") AS v(fold, lookback, a, b, c)"
 NAMED["c_rows"] = f"SELECT r.*, {CALENDAR}, m.family_code, m.class, m.perishable FROM clean r LEFT JOIN item_meta m USING (item_nbr)"
 NAMED["c_fit"] = "SELECT r.*, s.fold, s.lookback FROM c_rows r JOIN settings s ON r.date >= s.fit_start AND r.date < s.valid_start"
