@@ -27,6 +27,28 @@ def running_sums(sales: DataFrame, keys: list[str], late: str = "7 days", window
     return rows.groupBy(*groups).agg(F.sum("target").alias("sum"), F.count(F.lit(1)).alias("count"), F.count("target").alias("known"))
 
 
-def write_running(sums: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Run what is there now into a table in memory; the checkpoint lets a later run go on from it."""
-    return sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_running(sums: DataFrame, checkpoint: str, folder: str) -> StreamingQuery:
+    """Run what is there now; each micro-batch writes all sums as Parquet into a folder of its own (see read_running).
+
+    The executors write, so the driver holds no rows. A batch that is run again after a failure overwrites its own folder;
+    the checkpoint lets a later run go on from it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sums.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_running(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums after the last micro-batch that was written to its end.
+
+    Raises FileNotFoundError if there is none yet.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS"))
+    batches = [file.getPath().getParent() for file in done or ()]
+    if not batches:
+        raise FileNotFoundError(f"no batch has been written to {folder}")
+    return spark.read.parquet(max(batches, key=lambda path: int(path.getName().split("=")[1])).toString())
