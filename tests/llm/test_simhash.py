@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gondola.llm import simhash
+from gondola.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, fp int"  # fp: a name that the operator uses itself
 
@@ -224,3 +224,14 @@ def test_wide_bit_sliced_distances(radius):
         word, lane = simhash.set_lanes(got[i])
         lanes = word * 64 + lane
         assert set(lanes[lanes < 100].tolist()) == set(np.flatnonzero(distance[i] <= radius).tolist())
+
+
+@pytest.mark.parametrize("rows", [0, 90])
+def test_small_tables_are_kept_in_few_files(spark, monkeypatch, rows):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "FILE_ROWS", 10)
+    df = spark.range(rows).repartition(40)
+    for most, files in ((rows, max(cores, rows // 10)), (0, cores), (1000, 40)):
+        kept = common.gathered(df, most)
+        assert kept.rdd.getNumPartitions() <= files
+        assert sorted(r.id for r in kept.collect()) == list(range(rows))
